@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, url_filter
+from . import html_extract, mixing, packing, url_filter
 
 
 def queries():
     return {
         "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
+        "op5_html_extract": html_extract.op5_html_extract,
         "op6_url_filter": url_filter.op6_url_filter,
     }
 

@@ -35,3 +35,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 24) -> DataFrame:
+    """Inner join that broadcasts the small side if its table, already written, has at most limit_mb; else by shuffle."""
+    from pyspark.sql import functions as F
+
+    width = sum(8 if t in ("bigint", "double") else 4 if t == "int" else 0 for _, t in small.dtypes)
+    wide = [c for c, t in small.dtypes if t in ("binary", "string")]
+    a = small.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0)))).first()
+    fits = a[0] * width + (a[1] or 0) <= limit_mb * 1_000_000
+    return big.join(F.broadcast(small) if fits else small, key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, mixing, packing, quality, url_filter
+from . import html_extract, mixing, ngram_join, packing, quality, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_mixing": mixing.op4_mixing,
         "op5_html_extract": html_extract.op5_html_extract,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op9_quality": quality.op9_quality,
     }
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,10 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str = "t", by: str | None = None):
+    """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation; with by: the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if by:
+        df.write.partitionBy(by).parquet(path)
+        return path
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,12 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 24) -> DataFrame:
-    """Inner join that broadcasts the small side if its table, already written, has at most limit_mb; else by shuffle."""
-    from pyspark.sql import functions as F
-
+def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 24, how: str = "inner") -> DataFrame:
+    """Join that broadcasts the small side if its table, already written, has at most limit_mb; else by shuffle."""
     width = sum(8 if t in ("bigint", "double") else 4 if t == "int" else 0 for _, t in small.dtypes)
-    wide = [c for c, t in small.dtypes if t in ("binary", "string")]
-    a = small.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0)))).first()
+    of = {"binary": lambda c: F.octet_length(c), "string": lambda c: F.octet_length(c)}
+    wide = [of[t](c) if t in of else F.size(c) * 32 for c, t in small.dtypes if t in of or t.startswith("array")]
+    a = small.agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)) for x in wide), F.lit(0)))).first()
     fits = a[0] * width + (a[1] or 0) <= limit_mb * 1_000_000
-    return big.join(F.broadcast(small) if fits else small, key)
+    return big.join(F.broadcast(small) if fits else small, key, how)

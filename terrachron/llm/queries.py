@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_extract, mixing, ngram_join, packing, quality, url_filter
+from . import html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_html_extract": html_extract.op5_html_extract,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
+from . import ann, html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op9_quality": quality.op9_quality,
+        "op10_ann": ann.op10_ann,
     }
 
 

@@ -103,26 +103,28 @@ def _postings(k: int, percent: int, levels: int, held):
                 seen.add(key)
                 p, at, l = prefix(s, counts, noise, percent, levels)
                 m = len(p)
-                out.append((p.view(np.int64), np.full(m, key), np.full(m, len(s), np.int32), at.astype(np.int8), np.full(m, l, np.int8)))
+                out.append((p.view(np.int64), np.full(m, key), np.full(m, len(s), np.int32), at.astype(np.int8), np.full(m, l, np.int8), np.full(m, m, np.int32)))
             if out:
-                yield pd.DataFrame(dict(zip(("token", "key", "n", "at", "l"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("token", "key", "n", "at", "l", "p"), map(np.concatenate, zip(*out)))))
 
     return run
 
 
 def _pairs(percent: int, hot: int):
-    """From postings sorted by token: pairs of short lists with the matches they need, links to the first of long lists."""
+    """From postings sorted by token: pairs of short lists, links to the first of long lists (need 0). Of a pair: whether the
+    match counts at the pair's level, the matches needed there, and those needed over the whole prefixes: in one of the two
+    sets, that whose prefix ends first, all prefix shingles but as many as the overlap lets go must be in the other."""
 
     def emit(d, start):
         """d: whole lists, but that `start` says the first list's first key where it began before."""
-        token, key, n, at, l = (d[c].to_numpy() for c in ("token", "key", "n", "at", "l"))
+        token, key, n, at, l, p = (d[c].to_numpy().astype(np.int64) for c in ("token", "key", "n", "at", "l", "p"))
         new = np.append(True, token[1:] != token[:-1])
         run = np.cumsum(new) - 1
         first, size = np.flatnonzero(new), np.bincount(run)
         long = size > hot
         if start is not None:
             long[0] = True
-        u, v, c = [], [], []
+        out = []
         cold = np.flatnonzero(~long[run] & (size[run] > 1))
         for step in range(1, hot):
             a = cold[:-step] if step < len(cold) else cold[:0]
@@ -134,16 +136,20 @@ def _pairs(percent: int, hot: int):
                 break
             a, b = a[ok], b[ok]
             lv = np.minimum(l[a], l[b])
-            ok = (at[a] <= lv) & (at[b] <= lv) & (100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64))
-            u.append(key[a[ok]]), v.append(key[b[ok]]), c.append(lv[ok])
+            ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b, lv = a[ok], b[ok], lv[ok]
+            least = -(-percent * (n[a] + n[b]) // (100 + percent))  # overlap of similar sets
+            every = np.minimum(p[a] - (n[a] - least), p[b] - (n[b] - least))
+            out.append((key[a], key[b], ((at[a] <= lv) & (at[b] <= lv)).astype(np.int64), lv, every))
         h = np.flatnonzero(long[run])
         if len(h):
             head = key[first].copy()
             if start is not None:
                 head[0] = start
-            u.append(key[h]), v.append(head[run[h]]), c.append(np.zeros(len(h), np.int8))
-        if u:
-            return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "need": np.concatenate(c).astype(np.int32)})
+            none = np.zeros(len(h), np.int64)
+            out.append((key[h], head[run[h]], none, none, none))
+        if out:
+            return pd.DataFrame(dict(zip(("u", "v", "counts", "need", "every"), map(np.concatenate, zip(*out)))))
 
     def run(batches):
         carry, start = None, None
@@ -234,11 +240,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 4, hot
     for r in parts:  # a table of fixed size
         counts[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(r.counts, "<i8")
     held = spark.sparkContext.broadcast((counts, float(counts.mean())))
-    post = docs.select("text").mapInPandas(_postings(k, percent, levels, held), "token long, key long, n int, at byte, l byte")
+    post = docs.select("text").mapInPandas(_postings(k, percent, levels, held), "token long, key long, n int, at byte, l byte, p int")
     post = post.repartition("token").sortWithinPartitions("token", "key")
-    met = written(post.mapInPandas(_pairs(percent, hot), "u long, v long, need int"), "met")
-    met = met.where("u != v").groupBy("u", "v").agg(F.count("*").alias("c"), F.min("need").alias("need"))
-    cand = components(met.where("c >= need").select("u", "v")).select(F.col("node").alias("key"), F.col("component").alias("g"))
+    met = written(post.mapInPandas(_pairs(percent, hot), "u long, v long, counts int, need int, every int"), "met")
+    met = met.where("u != v").groupBy("u", "v").agg(F.sum("counts").alias("c"), F.count("*").alias("k"), F.min("need").alias("need"), F.min("every").alias("every"))
+    cand = components(met.where("c >= need and k >= every").select("u", "v")).select(F.col("node").alias("key"), F.col("component").alias("g"))
     # blocks of each candidate group, and which of them are near enough in size
     reps = t.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     cand = cand.join(reps, "key").where("doc_id is not null")

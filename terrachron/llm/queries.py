@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
+from . import ann, embed_dedup, html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
 def queries():
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_embed_dedup": embed_dedup.op2_embed_dedup,
         "op3_packing": packing.op3_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_html_extract": html_extract.op5_html_extract,

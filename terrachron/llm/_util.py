@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 24, how: str = "inner") -> DataFrame:
+def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 1, how: str = "inner") -> DataFrame:
     """Join that broadcasts the small side if its table, already written, has at most limit_mb; else by shuffle."""
     width = sum(8 if t in ("bigint", "double") else 4 if t == "int" else 0 for _, t in small.dtypes)
     of = {"binary": lambda c: F.octet_length(c), "string": lambda c: F.octet_length(c)}

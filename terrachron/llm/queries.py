@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, html_extract, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
+from . import ann, embed_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_html_extract": html_extract.op5_html_extract,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_quality": quality.op9_quality,
         "op10_ann": ann.op10_ann,
     }

@@ -39,8 +39,8 @@ def stacked(column) -> np.ndarray:
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """Indexes of the k nearest of each row, by inner product."""
     k, out = min(k, len(x) - 1), []
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
         out.append(np.argpartition(-s, k - 1, 1)[:, :k])
     return np.concatenate(out)
@@ -152,7 +152,7 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: i
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def search(rows: DataFrame, queries, k: int = 20, sample: int = 8192, parts: int = 64, recall: float = 0.97, block: int = 4096) -> DataFrame:
+def search(rows: DataFrame, queries, k: int = 20, sample: int = 4096, parts: int = 64, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row that the condition `queries` picks, among all rows."""
     spark = rows.sparkSession
     v = written(usable(rows).select("vec_id", "v", F.expr(queries).alias("asks") if isinstance(queries, str) else queries.alias("asks")), "vectors")

@@ -57,10 +57,10 @@ def quotas(parties: DataFrame, block_words: int) -> DataFrame:
     return q.groupBy("source", "_shard").agg((F.first("_lo") + F.sum("_won")).alias("_blocks"), F.first("_size").alias("_size"))
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, block_words: int = 16, shard_docs: int = 20_000, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, block_words: int = 16, shard_docs: int = 20_000, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document, and source."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", "source", size.alias("size"), _md5(seed).alias("_h")), "sized")
+    sized = written(docs.select("doc_id", "source", size.alias("size"), _md5(seed).alias("_h"), *keep), "sized")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / shard_docs).alias("_shards"))
     t = targets(per, weights, cap).withColumnRenamed("source", "_source")
     d = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, block_words: int = 16,
     d = d.withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_words") % F.col("_size") - F.col("_before")))
     taken = F.when(F.col("size") > 0, F.floor(F.col("_words") / F.col("_size")) * F.col("size") + part)
-    return d.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source")
+    return d.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source", *keep)
 
 
 def op4_mixing(spark, sf_dir):

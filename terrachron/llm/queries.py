@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import ann, embed_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": _pipeline,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_embed_dedup": embed_dedup.op2_embed_dedup,
         "op3_packing": packing.op3_packing,

@@ -260,10 +260,11 @@ def _there(spark, path) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, kept (the remaining bytes), spans removed, n_bytes of every document, and its columns in keep."""
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:
+    """doc_id, kept (the remaining bytes; as_text: without what a cut leaves of a character), spans removed, n_bytes of every
+    document, and its columns in keep."""
     spans = repeats(docs.select("doc_id", "text"), **options)
-    cols = list(dict.fromkeys(("doc_id", *keep)))
+    cols = list(dict.fromkeys(("doc_id", *keep)))  # named kept, spans or n_bytes: not to be asked for
     d = docs.select(*dict.fromkeys((*cols, "text"))).withColumn("_dk", F.xxhash64("doc_id", "text"))
 
     def run(batches):
@@ -275,14 +276,15 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
                 for x, y in cut:
                     parts.append(t[at:x])
                     at = y
-                kept.append(b"".join([*parts, t[at:]]))
+                left = b"".join([*parts, t[at:]])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 out.append([{"b": x, "e": y} for x, y in cut])
                 size.append(len(t))
             yield b[cols].assign(kept=kept, spans=out, n_bytes=size)
 
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in cols)
     both = sized(d, spans.withColumnsRenamed({"dk": "_dk", "spans": "_spans"}), "_dk", how="left")
-    return both.drop("_dk").mapInPandas(run, schema + ", kept binary, spans array<struct<b: int, e: int>>, n_bytes long")
+    return both.drop("_dk").mapInPandas(run, schema + f", kept {'string' if as_text else 'binary'}, spans array<struct<b: int, e: int>>, n_bytes long")
 
 
 def op1_suffix_dedup(spark, sf_dir):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._text import mixed
 from ._util import dropped, sized, table, written
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _POS = np.uint64((1 << 22) - 1)
 _TABLE = np.random.default_rng(20_240_501).integers(0, 1 << 64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -173,7 +173,7 @@ def _contexts(window: int):
     return run
 
 
-def _compare(window: int, most: int = 20_000):
+def _compare(window: int, most: int = 4_000):
     """Groups come sorted by g, each whole: windows that occur in two contexts of one group, of contexts met once."""
 
     def windows(d):

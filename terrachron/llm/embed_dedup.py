@@ -62,10 +62,9 @@ def pruned(x: np.ndarray, k: int = 32, degree: int = 16, alpha: float = 1.2) ->
 def found(x: np.ndarray, adjacency: list[np.ndarray], least: float, beam: int = 32) -> np.ndarray:
     """Matrix of similarities seen by each node's range-expanding greedy search (-2: not seen)."""
     n = len(x)
-    width = max(1, max(map(len, adjacency), default=1))
-    nbrs = np.full((n, width), -1, np.int64)
-    for i, v in enumerate(adjacency):
-        nbrs[i, : len(v)] = v
+    degree = np.array([len(v) for v in adjacency])
+    start = np.cumsum(degree) - degree
+    nbrs = np.concatenate(adjacency).astype(np.int64) if degree.sum() else np.zeros(0, np.int64)
     medoid = int((x @ x.sum(0)).argmax())
     sim = np.full((n, n), -2.0, np.float32)
     open_ = np.zeros((n, n), bool)
@@ -73,7 +72,9 @@ def found(x: np.ndarray, adjacency: list[np.ndarray], least: float, beam: int =
     def visit(q, node):
         new = sim[q, node] < -1.5
         q, node = q[new], node[new]
-        sim[q, node] = np.einsum("ij,ij->i", x[q], x[node])
+        for a in range(0, len(q), 100_000):
+            e = slice(a, a + 100_000)
+            sim[q[e], node[e]] = np.einsum("ij,ij->i", x[q[e]], x[node[e]])
         open_[q, node] = True
 
     rows = np.arange(n)
@@ -92,10 +93,13 @@ def found(x: np.ndarray, adjacency: list[np.ndarray], least: float, beam: int =
         i, node = np.nonzero((s >= least) | (s >= best[:, None]))
         q = live[i]
         open_[q, node] = False
-        for a in range(0, len(q), 200_000):
-            to = nbrs[node[a : a + 200_000]]
-            at = np.repeat(q[a : a + 200_000], width)[to.ravel() >= 0]
-            pair = np.unique(at * n + to.ravel()[to.ravel() >= 0])
+        size = degree[node]
+        part = np.cumsum(size) // 1_000_000  # so many links at a time
+        for k in range(int(part[-1]) + 1):
+            e = slice(*np.searchsorted(part, (k, k + 1)))
+            d = size[e]
+            at = np.repeat(start[node[e]] - np.cumsum(d) + d, d) + np.arange(d.sum())
+            pair = np.unique(np.repeat(q[e], d) * n + nbrs[at])
             visit(pair // n, pair % n)
     return sim
 
@@ -176,8 +180,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_
             np.fill_diagonal(link, False)
             link |= link.T
             p, q = np.nonzero(link)
-            for a in range(0, len(p), 200_000):
-                e = slice(a, a + 200_000)
+            for a in range(0, len(p), 100_000):
+                e = slice(a, a + 100_000)
                 link[p[e], q[e]] = np.einsum("ij,ij->i", x[p[e]], x[q[e]]) >= least  # verified in double precision
             before = np.zeros((len(cid), len(cid)), bool)  # pairs that meet in an earlier shard
             first = np.array([[s for s in z if s < g] + [-1 - k for k in range(overlap + 1 - len([s for s in z if s < g]))] for z in d["shards"]])

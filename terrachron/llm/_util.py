@@ -49,3 +49,10 @@ def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 1, how: st
     a = small.agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)) for x in wide), F.lit(0)))).first()
     fits = a[0] * width + (a[1] or 0) <= limit_mb * 1_000_000
     return big.join(F.broadcast(small) if fits else small, key, how)
+
+
+def sliced(batches, rows: int = 1000):
+    """Batches of at most so many rows: bounds what a step holds at once where texts are long."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.iloc[a : a + rows]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._text import WordHashes, shingles
-from ._util import sized, table, written
+from ._util import sized, sliced, table, written
 from .graph import components
 
 BITS = 20  # of the table of counts: 4 or 8 MB whatever the corpus
@@ -94,7 +94,7 @@ def _postings(k: int, percent: int, levels: int, held):
     def run(batches):
         counts, noise = held.value
         cache, seen = WordHashes(), set()
-        for b in batches:
+        for b in sliced(batches, 2000):
             out = []
             for t in b["text"].tolist():
                 s = shingles(t, k, cache)
@@ -258,7 +258,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 4, hot
 
     def sets(batches):
         cache = WordHashes()
-        for x in batches:
+        for x in sliced(batches):
             s = [shingles(y, k, cache) for y in x["text"].tolist()]
             r = pd.DataFrame({"key": x["key"], "tokens": [y.tobytes() for y in s]})
             yield r[[len(y) > 0 and _key(y) == z for y, z in zip(s, x["key"])]]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import table, written
+from ._util import sliced, table, written
 
 N_STATS = 12
 
@@ -96,7 +96,8 @@ def evidence(docs: DataFrame, labels: DataFrame, sample: int = 4000, keep: tuple
 
     def run(batches):
         vocab, mean, sd, heads = held.value
-        for b in batches:
+        for b in sliced(batches):
+            b = b.copy()
             s, row, col = _flat(b["text"].tolist(), vocab)
             z = (s - mean) / sd
             for name, w in zip(("low", "toxic"), heads):
@@ -130,8 +131,9 @@ def combine(scored: DataFrame) -> DataFrame:
     h = h.select(F.col("source").alias("_hs"), ((F.col("_g") + F.col("_kh") * F.col("_mh")) / (F.col("_n") + F.col("_kh"))).alias("host_posterior"), "_mh")
     q = path.crossJoin(F.broadcast(strength(path, "p"))).join(h, F.col("source").eqNullSafe(F.col("_hs")))
     post = (F.col("_g") + F.col("_kp") * F.col("host_posterior")) / (F.col("_n") + F.col("_kp"))
-    q = q.select(F.col("source").alias("_hs"), F.col("lang").alias("_hl"), "host_posterior", post.alias("path_posterior"), "_mh")
-    d = scored.join(q, F.col("source").eqNullSafe(F.col("_hs")) & F.col("lang").eqNullSafe(F.col("_hl")))
+    q = written(q.select(F.col("source").alias("_hs"), F.col("lang").alias("_hl"), "host_posterior", post.alias("path_posterior"), "_mh"), "sites")
+    small = q.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("_hs"), F.lit(0)) + F.coalesce(F.octet_length("_hl"), F.lit(0)))).first()
+    d = scored.join(F.broadcast(q) if small[0] * 64 + (small[1] or 0) <= 1_000_000 else q, F.col("source").eqNullSafe(F.col("_hs")) & F.col("lang").eqNullSafe(F.col("_hl")))
     odds = _logit(F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), "p_good"))) + _logit(F.col("path_posterior")) - _logit(F.col("_mh"))
     return d.withColumn("score", odds).withColumn("keep", F.col("score") >= 0).drop("_hs", "_hl", "_mh")
 

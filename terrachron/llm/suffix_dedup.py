@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mixed
-from ._util import dropped, sized, table, written
+from ._util import dropped, sized, sliced, table, written
 
 _CHUNK = 1 << 18
 _POS = np.uint64((1 << 22) - 1)
@@ -97,7 +97,7 @@ def _chunks(keys, texts, window):
 
 def _suffixes(window: int, gram: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2000):
             for chunk in _chunks(b["dk"].tolist(), b["text"].tolist(), window):
                 ends = np.cumsum([len(x) for _, _, x in chunk])
                 buf = np.frombuffer(b"".join(x for _, _, x in chunk), np.uint8)
@@ -154,7 +154,7 @@ def _contexts(window: int):
     """From documents with their representative suffixes: the bytes of each context, or each window of wide groups."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 200):
             out = []
             for dk, text, members in zip(b["dk"].tolist(), b["text"].tolist(), b["m"]):
                 t = text.encode("utf-8", "surrogatepass")
@@ -268,7 +268,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **
     d = docs.select(*dict.fromkeys((*cols, "text"))).withColumn("_dk", F.xxhash64("doc_id", "text"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             kept, out, size = [], [], []
             for text, spans in zip(b["text"], b["_spans"]):
                 t = text.encode("utf-8", "surrogatepass") if text else b""

@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, block_words: int = 16,
     d = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     d = d.withColumn("_shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("_shards"))
     parties = d.groupBy("source", "_shard").agg(F.sum("size").alias("_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    q = quotas(parties.withColumn("_t", F.col("target") * F.col("_size") / F.col("source_size")), block_words)
+    q = quotas(parties.withColumn("_t", F.col("target") * F.col("_size") / F.nullif(F.col("source_size"), F.lit(0))), block_words)
     q = q.select(F.col("source").alias("_source"), F.col("_shard").alias("_qshard"), F.least(F.col("_blocks") * block_words, F.col("_size") * cap).alias("_words"), "_size")
     d = d.join(q, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_qshard")), "left")
     order = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +93,7 @@ t AS (SELECT source, source_size, shards, CASE WHEN cap::DOUBLE / w <= share THE
   ELSE w * max(CASE WHEN cap::DOUBLE / w > share THEN share END) OVER () END AS target FROM w3),
 d AS (SELECT s.*, t.source_size, t.target, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-p0 AS (SELECT source, shard, sum(size)::BIGINT AS ssize, any_value(target) * sum(size)::DOUBLE / any_value(source_size)::DOUBLE AS t
+p0 AS (SELECT source, shard, sum(size)::BIGINT AS ssize, any_value(target) * sum(size)::DOUBLE / nullif(any_value(source_size), 0)::DOUBLE AS t
   FROM d GROUP BY source, shard),
 p1 AS (SELECT *, round(sum(ssize) OVER ()::DOUBLE / 16) AS n, count(*) OVER () AS s, sum(t) OVER () AS st FROM p0 WHERE t > 0),
 p2 AS (SELECT *, CASE WHEN n > s / 2 THEN floor(t * (n - s / 2) / st + 0.5) ELSE 0 END::BIGINT AS lo,

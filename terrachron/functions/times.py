@@ -22,7 +22,7 @@ def feed_time(text):
 
 def interval_state(text):
     """State struct of a minute, hour or day state file: key=value lines, # comments."""
-    m = F.str_to_map(F.regexp_replace(_c(text), r"\s*[\r\n]+\s*", "\n"), F.lit("\n"), F.lit("="))
+    m = F.str_to_map(F.regexp_replace(F.regexp_replace(_c(text), r"^\s+|\s+$", ""), r"\s*[\r\n]+\s*", "\n"), F.lit("\n"), F.lit("="))
     num = lambda k: F.try_element_at(m, F.lit(k)).try_cast("bigint")
     return F.struct(
         num("sequenceNumber").alias("seq"), feed_time(F.try_element_at(m, F.lit("timestamp"))).alias("timestamp"), num("txnMax").alias("txn_max"), num("txnMaxQueried").alias("txn_max_queried")

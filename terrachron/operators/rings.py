@@ -134,14 +134,16 @@ def _segments(column, role=None):
     return [Segment(s["index"], [(p["lon"], p["lat"]) for p in s["points"]], s["orientation"]) for s in column if role is None or s["role"] == role]
 
 
-def member_segments(relations: DataFrame, ways: DataFrame) -> DataFrame:
-    """id, segs of each relation: its way members in order, with the points of ways that carry them (column points or nodes)."""
+def member_segments(relations: DataFrame, ways: DataFrame, versions: bool = False) -> DataFrame:
+    """id, segs of each relation: its way members in order, with the points of ways that carry them (column points or nodes);
+    versions: ways are histories, and each member's version picks its own."""
     from ..functions.geo import line
 
-    w = ways.select(F.col("id").alias("ref"), (F.col("points") if "points" in ways.columns else line("nodes")).alias("points"))
+    more = ["version"] if versions else []
+    w = ways.select(F.col("id").alias("ref"), *more, (F.col("points") if "points" in ways.columns else line("nodes")).alias("points"))
     m = relations.select("id", F.posexplode("members").alias("idx", "m")).where("m.type = 'way'")
-    m = m.select("id", "idx", F.col("m.ref").alias("ref"), F.coalesce("m.orientation", F.lit(0)).cast("int").alias("o"), F.coalesce("m.role", F.lit("")).alias("role"), line("m.nodes").alias("own"))
-    j = m.join(w, "ref", "left").withColumn("points", F.coalesce("points", "own"))
+    m = m.select("id", "idx", F.col("m.ref").alias("ref"), *(F.col("m.version").alias(c) for c in more), F.coalesce("m.orientation", F.lit(0)).cast("int").alias("o"), F.coalesce("m.role", F.lit("")).alias("role"), line("m.nodes").alias("own"))
+    j = m.join(w, ["ref", *more], "left").withColumn("points", F.coalesce("points", "own"))
     s = F.struct(F.col("idx").alias("index"), F.col("o").alias("orientation"), "role", "points")
     return j.where("points is not null").groupBy("id").agg(F.array_sort(F.collect_list(s)).cast(_SEG).alias("segs"))
 
@@ -162,9 +164,9 @@ def joined(relations: DataFrame, ways: DataFrame, role: str | None = None) -> Da
     return s.mapInPandas(run, "id bigint, chain int, indexes array<int>, points array<struct<lon: double, lat: double>>, is_ring boolean")
 
 
-def member_orientations(relations: DataFrame, ways: DataFrame) -> DataFrame:
+def member_orientations(relations: DataFrame, ways: DataFrame, versions: bool = True) -> DataFrame:
     """Relations that are areas with the orientation of their way members: 1 if the way runs counterclockwise round its
-    ring, -1 if clockwise. ways: their state at the time."""
+    ring, -1 if clockwise. ways: histories, or with versions=False their state at the time."""
     from ..functions.tags import relation_is_area
 
     cols = ["id", "seq"] if "seq" in relations.columns else ["id"]
@@ -181,7 +183,7 @@ def member_orientations(relations: DataFrame, ways: DataFrame) -> DataFrame:
                         out += [(i, s.index, -want if turned != s.reversed else want) for s in c]
             yield pd.DataFrame(out, columns=["id", "idx", "o"])
 
-    got = member_segments(keyed, ways).mapInPandas(run, "id bigint, idx int, o int")
+    got = member_segments(keyed, ways, versions).mapInPandas(run, "id bigint, idx int, o int")
     got = got.groupBy(F.col("id").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "o"))).alias("_o"))
     d = relations.withColumn("_key", F.xxhash64(*cols)).join(got, "_key", "left")
     one = lambda m, i: m.withField("orientation", F.coalesce(F.try_element_at(F.col("_o"), i).cast("tinyint"), m["orientation"]))

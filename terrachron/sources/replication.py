@@ -17,7 +17,7 @@ def seq_of_path(path):
 
 def states(spark: SparkSession, folder: str, kind: str = "minute") -> DataFrame:
     """seq, timestamp, ... of every state file below the folder."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.state.txt").text(folder)
+    d = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.state.txt")
     d = d.withColumn("_p", F.input_file_name())
     s = times.changeset_state("value", seq_of_path("_p")) if kind == "changesets" else times.interval_state("value")
     return d.select(s.alias("s")).select("s.*")

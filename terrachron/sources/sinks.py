@@ -18,7 +18,7 @@ def escaped(c: Column) -> Column:
 def number(c: Column) -> Column:
     """The shortest form, without a fraction of zero."""
     c = c.cast("double")
-    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.regexp_replace(F.format_number(c, "0.##################"), "^-0$", "0"))
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.regexp_replace(F.call_function("format_number", c, F.lit("0.##################")), "^-0$", "0"))
 
 
 def attr(name: str, value: Column, omit: bool = False) -> Column:

@@ -10,7 +10,7 @@ class WordHashes(dict):
     """Hash of each word seen; forgets when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

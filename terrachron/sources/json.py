@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import tags
+from .sinks import ZERO_TIME, number
 
 _META = "user: string, uid: bigint, visible: boolean, version: string, changeset: bigint, timestamp: timestamp, committed: timestamp, tags: map<string, string>"
 _ELEMENT = (
@@ -20,7 +21,8 @@ def read(spark: SparkSession, path) -> dict[str, DataFrame]:
     doc = spark.read.schema(f"elements array<{_ELEMENT}>").option("multiLine", True).json(path)
     e = doc.select(F.explode("elements").alias("e")).select("e.*").withColumn("version", F.col("version").try_cast("int"))
     e = e.withColumn("visible", F.coalesce("visible", F.lit(False))).withColumn("tags", F.coalesce(tags.from_map("tags"), F.array().cast(schema.TAGS)))
-    e = e.withColumn("user", F.col("user"))
+    unset = lambda c: F.when(F.col(c) >= F.lit("0002-01-01").cast("timestamp"), F.col(c))
+    e = e.withColumns({c: unset(c) for c in ("timestamp", "committed")})
     meta = ["user", "uid", "visible", "version", "changeset", "timestamp", "tags", "committed"]
     ref = lambda n: F.struct(n.alias("ref"), *(F.lit(None).cast(t).alias(k) for k, t in (("version", "int"), ("changeset", "bigint"), ("lat", "double"), ("lon", "double"))))
     nodes = F.coalesce(F.transform("nodes", ref), F.array().cast(schema.WAY_NODES)).alias("nodes")
@@ -34,32 +36,119 @@ def read(spark: SparkSession, path) -> dict[str, DataFrame]:
     }
 
 
-def _or(name, value):
-    return F.coalesce(F.col(name), value)
+ORDER = ("node", "way", "relation", "changeset", "user", "note")
 
 
-def elements(kind: str, df: DataFrame) -> DataFrame:
-    """id, value: the JSON object of each element; zero and empty fields are left out, a missing time is the zero time."""
-    some = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
-    when = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("0001-01-01T00:00:00Z")).alias(c)
-    user = F.when(F.col("user") != "", F.col("user")).alias("user")
-    meta = [user, some("uid"), _or("visible", F.lit(False)).alias("visible"), some("version"), some("changeset"), when("timestamp")]
-    t = F.when(F.size("tags") > 0, tags.as_map("tags")).alias("tags")
-    head = [F.lit(kind).alias("type"), F.col("id")]
-    if kind == "node":
-        cols = [*head, _or("lat", F.lit(0.0)).alias("lat"), _or("lon", F.lit(0.0)).alias("lon"), *meta, t]
-    elif kind == "way":
-        cols = [*head, *meta, F.transform("nodes", lambda n: n["ref"]).alias("nodes"), t]
+def text(c):
+    """A string as JSON."""
+    a = F.to_json(F.array(c))
+    return F.substr(a, F.lit(2), F.length(a) - 2)
+
+
+def _obj(*fields):
+    """An object of (name, JSON column); null columns are left out."""
+    parts = F.array(*(F.concat(F.lit(f'"{k}":'), v) for k, v in fields))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def _list(items, one):
+    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ","), F.lit("]"))
+
+
+def _num(c):
+    return number(F.coalesce(c, F.lit(0)))
+
+
+def _some(c):
+    """A number that is not zero, else nothing."""
+    return F.when(c != 0, number(c))
+
+
+def _word(c):
+    return F.when(c != "", text(c))
+
+
+def _time(c):
+    return F.concat(F.lit('"'), F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(ZERO_TIME)), F.lit('"'))
+
+
+def _date(c):
+    return F.when(c.isNull(), "null").otherwise(_time(c))
+
+
+def _flag(c):
+    return F.coalesce(c, F.lit(False)).cast("string")
+
+
+def _tags():
+    return F.when(F.size("tags") > 0, F.to_json(tags.as_map("tags")))
+
+
+def _element(kind: str, df: DataFrame) -> list:
+    c = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
+    meta = [("user", _word(c("user"))), ("uid", _some(c("uid"))), ("visible", _flag(c("visible"))), ("version", _some(c("version"))), ("changeset", _some(c("changeset"))), ("timestamp", _time(c("timestamp")))]
+    if "committed" in df.columns:
+        committed = ("committed", F.when(F.col("committed").isNotNull(), _time(F.col("committed"))))
     else:
-        member = lambda m: F.struct(m["type"].alias("type"), m["ref"].alias("ref"), F.coalesce(m["role"], F.lit("")).alias("role"), *(F.when(m[k] != 0, m[k]).alias(k) for k in ("version", "changeset", "lat", "lon", "orientation")))
-        cols = [*head, *meta, t, F.transform("members", member).alias("members")]
-    return df.select("id", F.to_json(F.struct(*cols)).alias("value"))
+        committed = ("committed", F.lit(None).cast("string"))
+
+    def update(u):
+        return _obj(("index", number(u["index"])), ("version", number(u["version"])), ("timestamp", _time(u["timestamp"])), ("changeset", _some(u["changeset"])), ("lat", _some(u["lat"])), ("lon", _some(u["lon"])), ("reverse", F.when(u["reverse"], "true")))
+
+    updates = ("updates", F.when(F.size("updates") > 0, _list(F.col("updates"), update)) if "updates" in df.columns else F.lit(None).cast("string"))
+    refs = lambda n: _list(n, lambda x: F.coalesce(x["ref"], F.lit(0)).cast("string"))
+    if kind == "node":
+        return [("lat", _num(c("lat"))), ("lon", _num(c("lon"))), *meta, ("tags", _tags()), committed]
+    if kind == "way":
+        return [*meta, ("nodes", F.coalesce(refs(F.col("nodes")), F.lit("[]"))), ("tags", _tags()), committed, updates]
+
+    def member(m):
+        own = F.when(F.size(m["nodes"]) > 0, refs(m["nodes"]))
+        return _obj(("type", text(m["type"])), ("ref", number(m["ref"])), ("role", text(F.coalesce(m["role"], F.lit("")))), *((k, _some(m[k])) for k in ("version", "changeset", "lat", "lon", "orientation")), ("nodes", own))
+
+    return [*meta, ("tags", _tags()), ("members", F.coalesce(_list(F.col("members"), member), F.lit("[]"))), committed, updates]
+
+
+def _changeset() -> list:
+    c = F.col
+    said = lambda x: _obj(("user", text(F.coalesce(x["user"], F.lit("")))), ("uid", _num(x["uid"])), ("date", _time(x["date"])), ("text", text(F.coalesce(x["text"], F.lit("")))))
+    some = [(k, _some(c(k))) for k in ("num_changes", "min_lat", "max_lat", "min_lon", "max_lon", "comments_count")]
+    talk = F.when(c("discussion").isNotNull(), _obj(("comments", _list(c("discussion"), said))))
+    return [("user", _word(c("user"))), ("uid", _some(c("uid"))), ("created_at", _time(c("created_at"))), ("closed_at", _time(c("closed_at"))), ("open", _flag(c("open"))), *some, ("tags", _tags()), ("discussion", talk)]
+
+
+def _user() -> list:
+    c = F.col
+    n = lambda x: _obj(("count", _num(x["count"])))
+    lang = F.coalesce(_list(c("languages"), text), F.lit("null"))
+    home = _obj(*((k, _num(c("home")[k])) for k in ("lat", "lon", "zoom")))
+    blocks = _obj(("received", _obj(*((k, _num(c("blocks")["received"][k])) for k in ("count", "active")))))
+    got = _obj(*((k, _num(c("messages")["received"][k])) for k in ("count", "unread")))
+    return [
+        ("name", text(F.coalesce(c("name"), F.lit("")))), ("description", _word(c("description"))), ("img", _obj(("href", text(F.coalesce(c("img")["href"], F.lit("")))))), ("changesets", n(c("changesets"))), ("traces", n(c("traces"))),
+        ("home", home), ("languages", lang), ("blocks", blocks), ("messages", _obj(("received", got), ("sent", n(c("messages")["sent"])))), ("created_at", _time(c("created_at"))),
+    ]
+
+
+def _note() -> list:
+    c = F.col
+    empty = lambda x: text(F.coalesce(x, F.lit("")))
+    said = lambda x: _obj(("date", _date(x["date"])), ("uid", _some(x["uid"])), ("user", _word(x["user"])), ("user_url", _word(x["user_url"])), *((k, empty(x[k])) for k in ("action", "text", "html")))
+    urls = [(k, _word(c(k))) for k in ("url", "comment_url", "close_url", "reopen_url")]
+    dates = [(k, _date(c(k))) for k in ("date_created", "date_closed")]
+    return [("lat", _num(c("lat"))), ("lon", _num(c("lon"))), *urls, *dates, ("status", _word(c("status"))), ("comments", F.coalesce(_list(c("comments"), said), F.lit("null")))]
+
+
+def elements(kind: str, df: DataFrame) -> DataFrame:
+    """id, value: the JSON object of each row; zero and empty fields are left out, a missing time is the zero time."""
+    rest = {"changeset": _changeset, "user": _user, "note": _note}.get(kind, lambda: _element(kind, df))()
+    return df.select("id", _obj(("type", F.lit(f'"{kind}"')), ("id", F.col("id").cast("string")), *rest).alias("value"))
 
 
 def document(tables: dict[str, DataFrame], version: str | None = None, generator: str | None = None) -> DataFrame:
-    """One row with the whole document, for data that fits one: elements by kind, then id."""
+    """One row with the whole document, for data that fits one: nodes, ways, relations, changesets, users, notes, each by id."""
     parts = None
-    for k, (kind, df) in enumerate(tables.items()):
+    for k, (kind, df) in enumerate(sorted(tables.items(), key=lambda t: ORDER.index(t[0]))):
         x = elements(kind, df).select(F.lit(k).alias("k"), "id", "value")
         parts = x if parts is None else parts.unionByName(x)
     head = "".join(f'"{n}":"{v}",' for n, v in (("version", version), ("generator", generator)) if v)

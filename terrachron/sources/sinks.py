@@ -77,14 +77,63 @@ def element_xml(kind: str, df: DataFrame) -> Column:
     return F.concat(F.lit(f"<{kind}"), attr("id", F.col("id")), *_meta(), committed, F.lit(">"), *inner, updates, F.lit(f"</{kind}>"))
 
 
+def _child(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), escaped(F.coalesce(value.cast("string"), F.lit(""))), F.lit(f"</{name}>"))
+
+
+def _count(name: str, *fields: Column) -> Column:
+    return F.concat(F.lit(f"<{name}"), *fields, F.lit(f"></{name}>"))
+
+
+def changeset_xml() -> Column:
+    c = F.col
+    zero = lambda n: number(F.coalesce(c(n), F.lit(0.0)))
+    when = lambda n: F.coalesce(_time(c(n)), F.lit(ZERO_TIME))
+    head = [attr("id", c("id")), attr("user", F.coalesce("user", F.lit(""))), attr("uid", F.coalesce("uid", F.lit(0))), attr("created_at", when("created_at")), attr("closed_at", when("closed_at")), attr("open", F.coalesce("open", F.lit(False)))]
+    box = [attr(n, zero(n)) for n in ("min_lat", "max_lat", "min_lon", "max_lon")]
+    return F.concat(F.lit("<changeset"), *head, attr("num_changes", _nonzero(c("num_changes")), True), *box, attr("comments_count", _nonzero(c("comments_count")), True), F.lit(">"), _tags(), discussion_xml(c("discussion")), F.lit("</changeset>"))
+
+
+def note_xml() -> Column:
+    c = F.col
+    date = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss 'UTC'")
+
+    def said(x):
+        return F.concat(F.lit("<comment>"), _child("date", date(x["date"])), *(_child(k, x[k]) for k in ("uid", "user", "user_url", "action", "text", "html")), F.lit("</comment>"))
+
+    inner = [_child("id", c("id")), *(_child(k, c(k)) for k in ("url", "comment_url", "close_url", "reopen_url")), *(_child(k, date(c(k))) for k in ("date_created", "date_closed")), _child("status", c("status"))]
+    talk = F.when(F.size("comments") > 0, F.concat(F.lit("<comments>"), _joined(F.transform("comments", said)), F.lit("</comments>"))).otherwise("")
+    return F.concat(F.lit("<note"), attr("lat", number(F.coalesce("lat", F.lit(0.0)))), attr("lon", number(F.coalesce("lon", F.lit(0.0)))), F.lit(">"), *inner, talk, F.lit("</note>"))
+
+
+def user_xml() -> Column:
+    c = F.col
+    n = lambda name, x, *keys: _count(name, *(attr(k, F.coalesce(number(x[k].cast("double")), F.lit("0"))) for k in keys))
+    langs = F.when(F.size("languages") > 0, F.concat(F.lit("<languages>"), _joined(F.transform("languages", lambda x: _child("lang", x))), F.lit("</languages>"))).otherwise("")
+    inner = [
+        _child("description", c("description")), _count("img", attr("href", F.coalesce(c("img")["href"], F.lit("")))), n("changesets", c("changesets"), "count"), n("traces", c("traces"), "count"), n("home", c("home"), "lat", "lon", "zoom"), langs,
+        F.lit("<blocks>"), n("received", c("blocks")["received"], "count", "active"), F.lit("</blocks><messages>"), n("received", c("messages")["received"], "count", "unread"), n("sent", c("messages")["sent"], "count"), F.lit("</messages>"),
+    ]
+    return F.concat(F.lit("<user"), attr("id", c("id")), attr("display_name", F.coalesce("name", F.lit(""))), attr("account_created", F.coalesce(_time(c("created_at")), F.lit(ZERO_TIME))), F.lit(">"), *inner, F.lit("</user>"))
+
+
+def bounds_xml(b: Column) -> Column:
+    return F.concat(F.lit("<bounds"), *(attr(k, number(b[k])) for k in ("minlat", "maxlat", "minlon", "maxlon")), F.lit("></bounds>"))
+
+
+#: Kinds in the order of a document's body.
+ORDER = ("node", "way", "relation", "changeset", "note", "user")
+
+
 def lines(tables: dict[str, DataFrame], wrap: str | None = None) -> DataFrame:
     """kind_rank, id, version, value for every element; with an action column also action_rank, in order create, modify, delete."""
     out = None
-    for k, (kind, df) in enumerate(tables.items()):
+    own = {"changeset": changeset_xml, "note": note_xml, "user": user_xml}
+    for k, (kind, df) in enumerate(sorted(tables.items(), key=lambda t: ORDER.index(t[0]))):
         rank = F.lit(0)
         if "action" in df.columns:
             rank = F.when(F.col("action") == "create", 0).when(F.col("action") == "modify", 1).otherwise(2)
-        x = df.select(rank.alias("action_rank"), F.lit(k).alias("kind_rank"), "id", "version", element_xml(kind, df).alias("value"))
+        x = df.select(rank.alias("action_rank"), F.lit(k).alias("kind_rank"), "id", F.col("version") if "version" in df.columns else F.lit(0).alias("version"), (own[kind]() if kind in own else element_xml(kind, df)).alias("value"))
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -93,10 +142,11 @@ def _head(root: str, attrs: dict) -> str:
     return f"<{root}" + "".join(f' {k}="{v}"' for k, v in attrs.items() if v) + ">"
 
 
-def document(tables: dict[str, DataFrame], **attrs) -> DataFrame:
+def document(tables: dict[str, DataFrame], bounds: dict | None = None, **attrs) -> DataFrame:
     """One row with the whole document."""
     x = lines(tables).agg(F.array_sort(F.collect_list(F.struct("kind_rank", "id", "version", "value"))).alias("x"))
-    return x.select(F.concat(F.lit(_head("osm", attrs)), _joined(F.transform("x", lambda e: e["value"])), F.lit("</osm>")).alias("value"))
+    box = bounds_xml(F.struct(*(F.lit(float(v)).alias(k) for k, v in bounds.items()))) if bounds else F.lit("")
+    return x.select(F.concat(F.lit(_head("osm", attrs)), box, _joined(F.transform("x", lambda e: e["value"])), F.lit("</osm>")).alias("value"))
 
 
 def change_document(tables: dict[str, DataFrame], **attrs) -> DataFrame:

@@ -39,12 +39,18 @@ def _member(m):
     return F.struct(*(m[k].alias(k) for k in keep), m["nd"].alias("nodes"))
 
 
+def _set(t):
+    """A time, null where it is the zero time that writers put for none."""
+    return F.when(t >= F.lit("0002-01-01").cast("timestamp"), t)
+
+
 def _shaped(kind: str, get, visible=None) -> list:
     """Columns of the table from the raw record; get(name) gives one."""
     from ..functions.times import note_date
 
     none = lambda ddl: F.array().cast(ddl)
-    meta = lambda c: get(c).alias(c)
+    stamps = ("timestamp", "committed", "created_at", "closed_at")
+    meta = lambda c: (_set(get(c)) if c in stamps else get(c)).alias(c)
     seen = F.coalesce(get("visible"), F.lit(False)) if kind in ("node", "way", "relation") else None
     if visible is not None:
         seen = visible
@@ -64,12 +70,15 @@ def _shaped(kind: str, get, visible=None) -> list:
         said = lambda c: F.struct(note_date(c["date"]).alias("date"), *(c[k].alias(k) for k in ("uid", "user", "user_url", "action", "text", "html")))
         return [*map(meta, names), note_date(get("date_created")).alias("date_created"), note_date(get("date_closed")).alias("date_closed"), meta("status"), F.transform(get("comments")["comment"], said).alias("comments")]
     names = ("description", "img", "changesets", "traces", "home")
-    return [meta("id"), get("display_name").alias("name"), *map(meta, names), get("languages")["lang"].alias("languages"), meta("blocks"), meta("messages"), get("account_created").alias("created_at")]
+    return [meta("id"), get("display_name").alias("name"), *map(meta, names), get("languages")["lang"].alias("languages"), meta("blocks"), meta("messages"), _set(get("account_created")).alias("created_at")]
 
 
 def read(spark: SparkSession, path, kind: str) -> DataFrame:
     """All records of one kind, at any depth: so change files are flattened."""
-    return _read(spark, path, kind, _RAW[kind]).select(*_shaped(kind, F.col))
+    d = _read(spark, path, kind, _RAW[kind])
+    if kind == "user":  # comments of notes name their users in elements of the same name, without id
+        d = d.where("id is not null")
+    return d.select(*_shaped(kind, F.col))
 
 
 def read_all(spark: SparkSession, path) -> dict[str, DataFrame]:

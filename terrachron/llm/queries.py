@@ -28,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_mixing": mixing.SQL}
+    return {"op2_embed_dedup": embed_dedup.SQL, "op4_mixing": mixing.SQL, "op7_ngram_join": ngram_join.SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, ids, tags, times
-from ..operators import diff, features, history, joins, order, rings, stats
+from ..operators import container, diff, features, history, joins, order, rings, stats
 from .catalogue import register
 from .views import Tables, with_views
 
@@ -93,6 +93,16 @@ def _(t):
     return stats.counts(u)
 
 
+@query("elements", "SELECT 'node' AS type, id, CAST(version AS INT) AS version FROM node_v UNION ALL SELECT 'way', way_id, 1 FROM (SELECT DISTINCT way_id FROM ref_v) r UNION ALL SELECT 'relation', rel_id, 1 FROM (SELECT DISTINCT rel_id FROM member_v) m")
+def _(t):
+    return container.elements({"node": nodes(t), "way": ways(t), "relation": relations(t)}).drop("packed")
+
+
+@query("features", "SELECT 'node' AS type, id, (CAST(16 AS BIGINT) << 56) | (id << 16) AS packed FROM (SELECT DISTINCT id FROM node_hist) n")
+def _(t):
+    return container.features({"node": node_history(t)})
+
+
 @query("find_tags", "SELECT id, status AS found, '' AS absent, true AS has FROM way_v WHERE id IN (SELECT way_id FROM ref_v)")
 def _(t):
     return ways(t).select("id", tags.find("tags", "status").alias("found"), tags.find_or_empty("tags", "none").alias("absent"), tags.has("tags", "landuse").alias("has"))

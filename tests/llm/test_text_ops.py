@@ -179,6 +179,17 @@ def test_lm_score(spark, texts):
     assert len({(r.doc_id, round(r.score, 9)) for r in got if r.doc_id == 0}) == 1
 
 
+def test_long_unseen_words_cost_their_length(spark, texts):
+    ids = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    r = random.Random(9)
+    made = {i: "".join(r.choice("qwxyz0123456789") for _ in range(2000 * 2**k)) for k, i in enumerate(ids)}
+    got = lm_score.score(docs_of(spark, [*texts, *made.items()]), bits=(10, 12, 12, 14, 14), sample=500, frequent=4)
+    got = {x.doc_id: x for x in got.where(F.col("doc_id").isin(ids)).collect()}
+    a, b, c = (got[i].score for i in ids)
+    assert all(x.held_out and x.n_known == 1 for x in got.values()) and a < -1000
+    assert 1.9 < b / a < 2.1 and 1.9 < c / b < 2.1
+
+
 def test_spelling_is_a_distribution():
     words = [b"", b"ab", b"ba", b"aab", b"b"] * 3
     bits = (8, 8, 10, 10, 10)

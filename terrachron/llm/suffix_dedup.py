@@ -4,8 +4,8 @@ A byte goes if it lies in a string of `window` bytes that also starts anywhere e
 of such a string agrees: each window names the smallest hash of its `gram`-byte grams (the first, if several are equal) as
 its anchor. Consecutive windows with one anchor are a run; the suffix at the anchor, led by its gram, stands for them all.
 New batches of documents become sorted runs of such suffixes (sparse suffix arrays, in order of the gram's fingerprint: any
-order serves a merge scan that keeps equal prefixes together). A batch is merge-scanned against itself and all levels for
-prefixes met twice; levels of equal size then merge into one sorted table, so that n batches leave about log2(n) levels.
+order serves that keeps equal prefixes together). A batch is scanned against itself and all levels for prefixes
+met twice, by a hash aggregation over fingerprints that doesn't use the order; levels of equal size then merge into one sorted table, so that n batches leave about log2(n) levels.
 
 Suffixes with a repeated prefix are matched further: runs whose whole context (all bytes of their windows) occurs twice
 go entirely; in groups with differing contexts every window is compared, one representative per context. Groups

@@ -7,17 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; a folder of its own only where unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="terrachron-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, where it left the defaults: texts are long, and two batches lie in a worker."""
+    for key, usual, now in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", now)
+
+
 def written(df: DataFrame, name: str = "t", by: str | None = None):
     """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation; with by: the folder."""
     spark = df.sparkSession
@@ -51,6 +61,23 @@ def sized(big: DataFrame, small: DataFrame, key: str, limit_mb: int = 1, how: st
     return big.join(F.broadcast(small) if fits else small, key, how)
 
 
+def semi(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of big with a key in keys; both are written tables. keys: the columns of on, distinct and not null, and n, how many rows
+    of big have them. Keys of over one row in 20,000 are at most 20,000; they are broadcast, so that their rows don't meet in one
+    task, and only the others are shuffled."""
+    most = max(10_000, big.count() // 20_000)
+    hot = F.broadcast(keys.where(F.col("n") > most).select(on))
+    cold = big.join(hot, on, "left_anti").join(keys.where(F.col("n") <= most).select(on), on, "left_semi")
+    return big.join(hot, on, "left_semi").unionByName(cold)
+
+
+def drawn(rows: DataFrame, key, size, most_rows: int, most_mb: int = 64) -> DataFrame:
+    """The first rows in order of the hash of key: at most so many, and no more than most_mb of size (bytes) together."""
+    some = rows.withColumn("_h", F.xxhash64(key)).withColumn("_bytes", F.coalesce(size, F.lit(0))).orderBy("_h", "_bytes").limit(most_rows)
+    before = F.sum("_bytes").over(Window.orderBy("_h", "_bytes").rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("_sum", before).where(F.col("_sum") <= most_mb * 1_000_000).drop("_h", "_bytes", "_sum")
+
+
 def sliced(batches, rows: int = 1000):
     """Batches of at most so many rows: bounds what a step holds at once where texts are long."""
     for b in batches:

@@ -5,11 +5,12 @@ similarity t a set of n has n - ceil(t n) + l first shingles, and two similar se
 set takes the l with the least estimated cost: reading its posting lists, plus verifying at most (postings / l)
 candidates. Two sets meet with the smaller of their l: sharing that many makes a candidate pair. Posting lists of over
 `hot` sets are not paired up: their members only become one candidate group. Candidate groups are verified whole, in
-blocks of `block` sets ordered by size, of which only those near in size meet. No cap applies: every pair of similar
+blocks of about `block` shingles (and 768 sets at most) in order of size, of which only those near in size meet. No cap applies: every pair of similar
 sets shares a candidate group.
 
 Defined results: null and empty texts, and those without words, have the empty set and link with nothing; shorter texts are
-one shingle; repeated rows and copies share a class; ties in the order fall to the hash; an empty table gives no
+one shingle; repeated rows and copies share a class; a text without doc_id links others and takes the component of those it links
+with, null if none has a doc_id; ties in the order fall to the hash; an empty table gives no
 rows; further columns are ignored. A class is named by a 64-bit hash of its shingles.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._text import WordHashes, shingles
-from ._util import sized, sliced, table, written
+from ._util import bounded, sized, sliced, table, written
 from .graph import components
 
 BITS = 20  # of the table of counts: 4 or 8 MB whatever the corpus
@@ -172,7 +173,7 @@ def _pairs(percent: int, hot: int):
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int, chunk: int = 8192) -> np.ndarray:
+def linked(sets: list[np.ndarray], percent: int, chunk: int = 4096) -> np.ndarray:
     """Matrix of which of these sets are similar, exactly."""
     n = np.array([len(s) for s in sets], np.float64)
     if len(sets) == 2:
@@ -229,9 +230,10 @@ def _verify(percent: int):
     return run
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 4, hot: int = 64, block: int = 768) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 4, hot: int = 64, block: int = 384_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; similar: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
+    bounded(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = written(docs.mapInPandas(_first_pass(k), "doc_id long, n long, key long, part int, counts binary"), "sets")
     t = first.where("part = -1").select("doc_id", "n", "key")
@@ -247,24 +249,29 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 4, hot
     cand = components(met.where("c >= need and k >= every").select("u", "v")).select(F.col("node").alias("key"), F.col("component").alias("g"))
     # blocks of each candidate group, and which of them are near enough in size
     reps = t.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    cand = cand.join(reps, "key").where("doc_id is not null")
-    cand = written(cand.withColumn("i", F.floor((F.row_number().over(Window.partitionBy("g").orderBy("n", "key")) - 1) / block)), "cand")
+    cand = cand.join(reps, "key")
+    weight = F.sum(F.col("n") + block // 768).over(Window.partitionBy("g").orderBy("n", "key"))
+    cand = written(cand.withColumn("i", F.floor(weight / block)), "cand")
     b = cand.groupBy("g", "i").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     c = b.select("g", F.col("i").alias("j"), F.col("lo").alias("lo2"))
     meet = b.join(c, "g").where(f"i <= j and 100 * hi >= {percent} * lo2").select("g", "i", "j")
     own = meet.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
-    to = cand.withColumnRenamed("i", "b").join(own, ["g", "b"]).select("g", "i", "j", "key", "doc_id")
-    need = cand.select("doc_id", "key")
+    to = cand.withColumnRenamed("i", "b").join(own, ["g", "b"]).select("g", "i", "j", "key")
+    need = cand.where("doc_id is not null").select("doc_id", "key")
 
     def sets(batches):
         cache = WordHashes()
-        for x in sliced(batches):
+        for x in sliced(batches, 500):
             s = [shingles(y, k, cache) for y in x["text"].tolist()]
-            r = pd.DataFrame({"key": x["key"], "tokens": [y.tobytes() for y in s]})
-            yield r[[len(y) > 0 and _key(y) == z for y, z in zip(s, x["key"])]]
-
-    tokens = sized(docs, need, "doc_id").select("key", "text").mapInPandas(sets, "key long, tokens binary")
-    groups = to.select("g", "i", "j", "key").join(tokens, "key").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "key")
+            names = [_key(y) if len(y) else None for y in s]
+            ok = [a is not None and (b is None or pd.isna(b) or a == b) for a, b in zip(names, x["key"])]
+            yield pd.DataFrame({"key": pd.array(names, "Int64"), "tokens": [y.tobytes() for y in s]})[ok]
+
+    shape = "key long, tokens binary"
+    tokens = sized(docs, need, "doc_id").select("key", "text").mapInPandas(sets, shape)
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("key"), "text").mapInPandas(sets, shape)  # known by their sets alone
+    tokens = tokens.unionByName(nameless.join(cand.where("doc_id is null").select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    groups = to.join(tokens, "key").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "key")
     links = components(groups.mapInPandas(_verify(percent), "u long, v long"))
     low = links.withColumnRenamed("node", "key").join(reps.select("key", "doc_id"), "key")
     least = low.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -1,7 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 Two logistic models (low quality, toxic) over text statistics and words give each document its evidence. They are fitted
-on about `sample` labelled documents, at most twice that (one in so many by hash of doc_id); everything else covers all rows. Expected good documents
+on about `sample` labelled documents, at most twice that and 64 MB (one in so many by hash of doc_id; a document labelled twice counts as
+the worse); everything else covers all rows. Expected good documents
 are summed by path (source, lang) and by host (source). A host's share of good documents is shrunk toward the global
 share, a path's toward its host's, each with a strength from the spread between groups (method of moments), so that
 sparse sites follow their parents. A document's log-odds are its evidence's plus its path's shift from the global share.
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import sliced, table, written
+from ._util import bounded, drawn, table, written
 
 N_STATS = 12
 
@@ -81,32 +82,32 @@ def fit(texts, targets, min_docs: int = 3, epochs: int = 150, rate: float = 0.2,
     return vocab, mean, sd, heads
 
 
-def evidence(docs: DataFrame, labels: DataFrame, sample: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of docs (doc_id, source, lang and the columns of keep) with the log-odds low and toxic."""
+def evidence(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
+    """docs with low and toxic, the log-odds of the two models; only the text goes to Python, and two numbers come back."""
     spark = docs.sparkSession
+    bounded(spark)
     lab = labels.where("doc_id is not null and quality is not null and toxic is not null")
     every = max(1, lab.count() // sample)
     lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("doc_id").alias("_id"), "quality", "toxic")
-    lab = lab.dropDuplicates(["_id"]).limit(2 * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("_id"))  # at most 2 * sample rows
-    rows = rows.select("text", "quality", "toxic").limit(2 * sample).collect()
+    lab = lab.groupBy("_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id")).limit(2 * sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("_id"))  # at most 2 * sample labels
+    rows = drawn(rows, "_id", F.octet_length("text"), 2 * sample).select("text", "quality", "toxic").collect()
     model = fit([r.text for r in rows], [[r.quality == 0 for r in rows], [r.toxic == 1 for r in rows]])
     held = spark.sparkContext.broadcast(model)
-    cols = list(dict.fromkeys(("doc_id", "source", "lang", *keep)))
 
-    def run(batches):
+    @F.pandas_udf("low double, toxic double")
+    def rate(text: pd.Series) -> pd.DataFrame:
         vocab, mean, sd, heads = held.value
-        for b in sliced(batches):
-            b = b.copy()
-            s, row, col = _flat(b["text"].tolist(), vocab)
+        parts = []
+        for a in range(0, len(text), 500):
+            part = text.iloc[a : a + 500]
+            s, row, col = _flat(part.tolist(), vocab)
             z = (s - mean) / sd
-            for name, w in zip(("low", "toxic"), heads):
-                b[name] = z @ w[:N_STATS] + np.bincount(row, w[N_STATS:-1][col], len(b)) + w[-1]
-            yield b[[*cols, "low", "toxic"]]
+            parts.append(np.stack([z @ w[:N_STATS] + np.bincount(row, w[N_STATS:-1][col], len(part)) + w[-1] for w in heads], 1))
+        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=["low", "toxic"])
 
-    d = docs.select(*dict.fromkeys((*cols, "text")))
-    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in cols) + ", low double, toxic double"
-    return d.mapInPandas(run, schema)
+    d = docs.withColumn("_e", rate(F.col("text")))
+    return d.select(*docs.columns, F.col("_e.low").alias("low"), F.col("_e.toxic").alias("toxic"))
 
 
 def _logit(p):
@@ -140,15 +141,17 @@ def combine(scored: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """doc_id, source, lang, evidence, posteriors, score and keep of every document."""
-    return combine(written(evidence(docs, labels, sample), "evidence"))
+    e = evidence(docs.select("doc_id", "source", "lang", "text"), labels, sample).drop("text")
+    return combine(written(e, "evidence"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """The documents kept, with all their columns."""
-    clash = {"low", "toxic", "p_good", "host_posterior", "path_posterior", "score", "keep", "_g", "_n"} & set(docs.columns)
-    kept = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    d = combine(written(evidence(kept, labels, sample, tuple(kept.columns)), "evidence"))
-    return d.where("keep").select(kept.columns).withColumnsRenamed({f"_own_{c}": c for c in clash})
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that none clashes with a column made here
+    d = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)))
+    d = d.withColumns({c: F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text", "source", "lang")})
+    d = combine(written(evidence(d, labels, sample).drop("doc_id", "text"), "evidence"))
+    return d.where("keep").select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own)))
 
 
 def op9_quality(spark, sf_dir):

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, html_extract, lm_score, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
-
-
-def _pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from . import ann, embed_dedup, html_extract, lm_score, mixing, ngram_join, packing, pipeline, quality, suffix_dedup, url_filter
 
 
 def queries():
     return {
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_embed_dedup": embed_dedup.op2_embed_dedup,
         "op3_packing": packing.op3_packing,
@@ -28,4 +22,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_embed_dedup": embed_dedup.SQL, "op4_mixing": mixing.SQL, "op7_ngram_join": ngram_join.SQL}
+    own = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
+    return own | {"op2_embed_dedup": embed_dedup.SQL, "op4_mixing": mixing.SQL, "op7_ngram_join": ngram_join.SQL}

@@ -9,7 +9,8 @@ met twice, by a hash aggregation over fingerprints that doesn't use the order; l
 
 Suffixes with a repeated prefix are matched further: runs whose whole context (all bytes of their windows) occurs twice
 go entirely; in groups with differing contexts every window is compared, one representative per context. Groups
-of over `wide` contexts are compared window by window in a grouped count instead of in one task.
+of over `wide` contexts are not compared in one task but by grouped counts: first of blocks of `block` windows by the bytes that a block's
+windows share, then of the windows of blocks met twice.
 
 Defined results: a null text is empty; texts shorter than the window keep everything; repeated rows are copies of each
 other, so their windows go; very long texts are cut into overlapping segments for hashing only; an empty table gives no
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mixed
-from ._util import dropped, sized, sliced, table, written
+from ._util import bounded, dropped, semi, sized, sliced, table, written
 
 _CHUNK = 1 << 18
 _POS = np.uint64((1 << 22) - 1)
@@ -129,7 +130,7 @@ class SuffixIndex:
         new = batch.select("g", F.lit(1).alias("new"))
         for _, t in self.levels:
             new = new.unionByName(t.select("g", F.lit(0).alias("new")))
-        met = new.groupBy("g").agg(F.count("*").alias("c"), F.max("new").alias("new")).where("c > 1 and new = 1").select("g")
+        met = new.groupBy("g").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("g", "n")
         self.hits.append(written(met, "hits"))
         self.levels.append((1, batch))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -147,11 +148,11 @@ class SuffixIndex:
             every = every.unionByName(t)
         for t in self.hits[1:]:
             hits = hits.unionByName(t)
-        return every.join(hits.distinct(), "g", "left_semi")
+        return semi(every, written(hits.groupBy("g").agg(F.max("n").alias("n")), "hits"), ["g"])
 
 
 def _contexts(window: int):
-    """From documents with their representative suffixes: the bytes of each context, or each window of wide groups."""
+    """From documents with their representative suffixes: the bytes of each context."""
 
     def run(batches):
         for b in sliced(batches, 200):
@@ -159,16 +160,55 @@ def _contexts(window: int):
             for dk, text, members in zip(b["dk"].tolist(), b["text"].tolist(), b["m"]):
                 t = text.encode("utf-8", "surrogatepass")
                 for m in members:
-                    g, s, o, r, c, wide = (int(m[x]) for x in ("g", "s", "o", "r", "c", "wide"))
-                    x = t[s : s + r + window]
-                    if wide:
-                        i = np.arange(r + 1)
-                        h = Hashes(np.frombuffer(x, np.uint8)).at(i, i + window)
-                        h = mixed(h + (o - i).astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-                        out += [(g, dk, s + j, 0, 0, c, None, v) for j, v in enumerate(h.tolist())]
-                    else:
-                        out.append((g, dk, s, o, r, c, x, None))
-            yield pd.DataFrame(out, columns=["g", "dk", "s", "o", "r", "c", "x", "h"]).astype({"h": "Int64"})
+                    g, s, o, r, c = (int(m[x]) for x in ("g", "s", "o", "r", "c"))
+                    out.append((g, dk, s, o, r, c, bool(m["wide"]), t[s : s + r + window]))
+            yield pd.DataFrame(out, columns=["g", "dk", "s", "o", "r", "c", "wide", "x"])
+
+    return run
+
+
+def _named(d, row, at, to, place):
+    """Fingerprints of the bytes [at, to) of the contexts d[row], together with their gram and their place about it."""
+    size = np.array([len(x) for x in d["x"]], np.int64)
+    base = (np.cumsum(size) - size)[row]
+    h = Hashes(np.frombuffer(b"".join(d["x"]), np.uint8)).at(base + at, base + to)
+    return mixed(mixed(h + place.astype(np.uint64) * np.uint64(_BASE)) ^ d["g"].to_numpy().view(np.uint64)[row]).view(np.int64)
+
+
+def _each(first, last):
+    """(row, value) of the whole numbers from first to last of every row."""
+    n = last - first + 1
+    row = np.repeat(np.arange(len(n)), n)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _blocks(window: int, block: int):
+    """Contexts of wide groups, by blocks of windows that start as far before the gram: windows of a block that are equal have
+    equal cores, which are the bytes that all windows of the block have."""
+
+    def run(batches):
+        for d in sliced(batches, 500):
+            o, r = (d[c].to_numpy().astype(np.int64) for c in "or")
+            row, q = _each((o - r) // block, o // block)
+            at = o[row] - q * block
+            key = _named(d, row, at, at + window - block + 1, q)
+            yield pd.DataFrame({"key": key, "dk": d["dk"].to_numpy()[row], "s": d["s"].to_numpy()[row], "q": q.astype(np.int16), "c": d["c"].to_numpy()[row]})
+
+    return run
+
+
+def _windows(window: int, block: int):
+    """The windows in the blocks qs of each context."""
+
+    def run(batches):
+        for d in sliced(batches, 500):
+            o, r, s = (d[c].to_numpy().astype(np.int64) for c in "ors")
+            k = np.repeat(np.arange(len(d)), [len(x) for x in d["qs"]])
+            q = np.concatenate([np.asarray(x, np.int64) for x in d["qs"]])
+            i, l = _each(np.maximum(q * block, (o - r)[k]), np.minimum(q * block + block - 1, o[k]))
+            row = k[i]
+            at = o[row] - l
+            yield pd.DataFrame({"h": _named(d, row, at, at + window, l), "dk": d["dk"].to_numpy()[row], "b": (s[row] + at).astype(np.int32), "c": d["c"].to_numpy()[row]})
 
     return run
 
@@ -227,30 +267,40 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeats(docs: DataFrame, window: int = 400, gram: int = 200, batches: int = 3, wide: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 400, gram: int = 200, batches: int = 3, wide: int = 2_000, block: int = 16) -> DataFrame:
     """dk (hash of doc_id and text) and its spans [b, e) of bytes to remove, for documents that have any."""
+    spark, block = docs.sparkSession, min(block, window)
+    bounded(spark)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("dk"), "text")
     s = keyed.mapInPandas(_suffixes(window, gram), _SUFFIX).withColumn("batch", F.pmod("dk", F.lit(batches)).cast("int"))
-    index, spark = SuffixIndex(), docs.sparkSession
+    index = SuffixIndex()
     path = written(s.sortWithinPartitions("batch", "g", "ctx"), "suffixes", "batch")
     for i in range(batches):
         index.add(spark.read.schema(_SUFFIX).parquet(f"{path}/batch={i}") if _there(spark, f"{path}/batch={i}") else spark.createDataFrame([], _SUFFIX))
     f = written(index.repeated(), "repeated")
     rep = F.min(F.struct("dk", "s", "o", "r")).alias("m")
-    ctx = f.groupBy("g", "ctx").agg(F.count("*").alias("c"), rep).select("g", "ctx", "c", "m.*")
+    ctx = f.groupBy("g", "ctx").agg(F.count("*").alias("n"), rep).select("g", "ctx", "n", "m.*")
     ctx = written(ctx, "contexts")
-    open_ = ctx.groupBy("g").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("g", (F.col("k") > wide).alias("wide"))
-    member = F.struct("g", "s", "o", "r", F.least("c", F.lit(2)).cast("int").alias("c"), "wide")
-    reps = written(ctx.join(open_, "g").groupBy("dk").agg(F.collect_list(member).alias("m")), "members")
-    x = sized(keyed.where("text is not null"), reps, "dk").select("dk", "text", "m")
-    x = x.mapInPandas(_contexts(window), "g long, dk long, s int, o short, r short, c int, x binary, h long")
-    x = written(x, "windows")
-    one = x.where("h is null").drop("h").repartition("g").sortWithinPartitions("g").mapInPandas(_compare(window), "dk long, b int, e int")
-    many = x.where("h is not null")
-    twice = many.groupBy("g", "h").agg(F.count("*").alias("k")).where("k > 1").select("g", "h")
-    many = many.where("c = 1").join(twice, ["g", "h"]).select("dk", F.col("s").alias("b"), (F.col("s") + window).alias("e"))
-    whole = f.join(ctx.where("c > 1").select("g", "ctx"), ["g", "ctx"], "left_semi")
+    whole = semi(f, ctx.where("n > 1").select("g", "ctx", "n"), ["g", "ctx"])
     whole = whole.select("dk", F.col("s").alias("b"), (F.col("s") + F.col("r") + window).cast("int").alias("e"))
+    # groups with several contexts, of which one is met once: compared in one task each, but for wide ones
+    open_ = ctx.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
+    open_ = written(open_.select("g", F.col("k").alias("n")), "open")
+    few = ctx.join(open_.where(F.col("n") <= wide).select("g"), "g", "left_semi").withColumn("wide", F.lit(False))
+    many = semi(ctx, open_.where(F.col("n") > wide), ["g"]).withColumn("wide", F.lit(True))
+    member = F.struct("g", "s", "o", "r", F.least("n", F.lit(2)).cast("int").alias("c"), "wide")
+    reps = written(few.unionByName(many).groupBy("dk").agg(F.collect_list(member).alias("m")), "members")
+    x = sized(keyed.where("text is not null"), reps, "dk").select("dk", "text", "m")
+    shape = "g long, dk long, s int, o short, r short, c int, wide boolean, x binary"
+    x = written(x.mapInPandas(_contexts(window), shape), "windows")
+    one = x.where("not wide").drop("wide").repartition("g").sortWithinPartitions("g").mapInPandas(_compare(window), "dk long, b int, e int")
+    x = x.where("wide")
+    cores = written(x.mapInPandas(_blocks(window, block), "key long, dk long, s int, q short, c int"), "cores")
+    met = cores.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 and least = 1").select("key", "n")
+    left = semi(cores, written(met, "met"), ["key"]).groupBy("dk", "s").agg(F.collect_set("q").alias("qs"))
+    every = written(x.join(left, ["dk", "s"]).mapInPandas(_windows(window, block), "h long, dk long, b int, c int"), "every")
+    met = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 and least = 1").select("h", "n")
+    many = semi(every, written(met, "met"), ["h"]).where("c = 1").select("dk", "b", (F.col("b") + window).alias("e"))
     spans = whole.unionByName(one).unionByName(many).groupBy("dk").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     return written(spans, "spans")
 
@@ -260,34 +310,60 @@ def _there(spark, path) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _cut(docs: DataFrame, as_text: bool, **options) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0, c1 and so on (also given), so that none clashes, and kept, spans, n_bytes. Only texts that lose
+    something go to Python."""
+    spans = repeats(docs.select("doc_id", "text"), **options).select(F.col("dk").alias("_dk"), F.col("spans").alias("_spans"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    key = F.xxhash64("doc_id", "text").alias("_dk")
+    d = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), F.col("text").cast("string").alias("_text"), key)
+    span = "array<struct<b: int, e: int>>"
+
+    @F.pandas_udf(span)
+    def merged(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [{"b": b, "e": e} for b, e in _merged(x)] for x in column])
+
+    @F.pandas_udf("string" if as_text else "binary")
+    def remaining(texts: pd.Series, column: pd.Series) -> pd.Series:
+        out = []
+        for text, cuts in zip(texts, column):
+            if text is None:
+                out.append(None)
+                continue
+            t, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
+            for x in cuts:
+                parts.append(t[at : x["b"]])
+                at = x["e"]
+            left = b"".join([*parts, t[at:]])
+            out.append(left.decode("utf-8", "ignore") if as_text else left)
+        return pd.Series(out, dtype=object)
+
+    none, text = F.array().cast(span), F.coalesce("_text", F.lit(""))
+    both = sized(d, spans, "_dk", how="left").withColumn("spans", F.coalesce(merged("_spans"), none))
+    cut = remaining(F.when(F.size("spans") > 0, F.col("_text")), F.col("spans"))
+    kept = F.coalesce(cut, text if as_text else F.encode(text, "UTF-8"))
+    return both.select(*own, kept.alias("kept"), "spans", F.octet_length(text).cast("long").alias("n_bytes")), own
+
+
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:
     """doc_id, kept (the remaining bytes; as_text: without what a cut leaves of a character), spans removed, n_bytes of every
-    document, and its columns in keep."""
-    spans = repeats(docs.select("doc_id", "text"), **options)
-    cols = list(dict.fromkeys(("doc_id", *keep)))  # named kept, spans or n_bytes: not to be asked for
-    d = docs.select(*dict.fromkeys((*cols, "text"))).withColumn("_dk", F.xxhash64("doc_id", "text"))
+    document, and its columns in keep; those named like a result are not to be asked for."""
+    if clash := {"kept", "spans", "n_bytes"} & set(keep):
+        raise ValueError(f"results have the names {sorted(clash)}")
+    cols = list(dict.fromkeys(("doc_id", *keep)))
+    d, own = _cut(docs.select(*dict.fromkeys((*cols, "text"))), as_text, **options)
+    return d.select(*(F.col(o).alias(c) for c, o in zip(cols, own)), "kept", "spans", "n_bytes")
 
-    def run(batches):
-        for b in sliced(batches):
-            kept, out, size = [], [], []
-            for text, spans in zip(b["text"], b["_spans"]):
-                t = text.encode("utf-8", "surrogatepass") if text else b""
-                cut, parts, at = _merged(spans) if spans is not None else [], [], 0
-                for x, y in cut:
-                    parts.append(t[at:x])
-                    at = y
-                left = b"".join([*parts, t[at:]])
-                kept.append(left.decode("utf-8", "ignore") if as_text else left)
-                out.append([{"b": x, "e": y} for x, y in cut])
-                size.append(len(t))
-            yield b[cols].assign(kept=kept, spans=out, n_bytes=size)
-
-    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in cols)
-    both = sized(d, spans.withColumnsRenamed({"dk": "_dk", "spans": "_spans"}), "_dk", how="left")
-    return both.drop("_dk").mapInPandas(run, schema + f", kept {'string' if as_text else 'binary'}, spans array<struct<b: int, e: int>>, n_bytes long")
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs, whatever its columns, with what remains of each text; n_chars, if there is one, follows it."""
+    d, own = _cut(docs, True, **options)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return d.select(*(new.get(c, F.col(o)).alias(c) for c, o in zip(docs.columns, own)))
 
 
 def op1_suffix_dedup(spark, sf_dir):
     d = dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["b"]))
-    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rest = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # what remains, U+FFFD where a cut parts a character
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), rest)

@@ -1,77 +1,5 @@
-"""A corpus pipeline of five stages, each calling one operator on all that its predecessor kept.
+"""The corpus pipeline: its stages are in terrachron.llm.pipeline, as they belong to that subpackage."""
 
-quality   drops the documents that the quality classifier rejects (low quality, toxic)
-near      keeps one document, that with the smallest doc_id, of each group linked by 5-word shingles at 0.8
-repeats   removes every string of 200 bytes that occurs elsewhere, all its copies; an emptied document stays, empty
-mixing    takes words by source: a document taken more than once is repeated, what is taken in part is cut after its last
-          word taken (words then joined by single spaces), what is not taken goes
-packing   packs the pieces of all documents into sequences of 1024 tokens
+from terrachron.llm.pipeline import ORACLE_SQL, STAGES, run, written
 
-All stages but the last return the columns of documents; n_chars follows the text. Rows without doc_id are kept by `near`
-as they are. Empty tables pass through.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from terrachron.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from terrachron.llm._util import sized, table, written
-
-#: SQL can't express the stages' models and fixpoints; tests/llm compares them with brute force.
-ORACLE_SQL = None
-
-
-def keep_quality(spark, docs, sf_dir):
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near(spark, docs, sf_dir):
-    c = ngram_join.classes(docs, k=5, percent=80)
-    c = c.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_comp"), F.count("*").alias("_copies"))
-    c = written(c.where("doc_id != _comp or _copies > 1"), "losers")
-    d = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    gone = sized(d, c.withColumnRenamed("doc_id", "_id"), "_id", how="left")
-    once = gone.where("_copies is null or _id is null").drop("_id", "_comp", "_copies")
-    again = gone.where("_comp = _id and _copies > 1").drop("_id", "_comp", "_copies").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
-
-
-def cut_repeats(spark, docs, sf_dir):
-    d = suffix_dedup.dedup(docs, keep=tuple(docs.columns), window=200, gram=100, as_text=True)
-    return d.select(*(F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns))
-
-
-def mix_sources(spark, docs, sf_dir):
-    own = docs.withColumn("_dk", F.xxhash64("doc_id", "text", "source"))
-    t = mixing.mix(own, keep=("_dk",)).groupBy("_dk").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    d = sized(own, written(t.where("_taken > 0"), "taken"), "_dk")
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
-    d = d.select("*", F.explode(F.sequence(F.lit(0), whole)).alias("_copy")).where((F.col("_copy") < whole) | (part > 0))
-    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
-    text = F.when(F.col("_copy") < whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
-    d = d.withColumn("text", text)
-    return d.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns))
-
-
-def pack_sequences(spark, docs, sf_dir):
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("near", drop_near),
-    ("repeats", cut_repeats),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-
-def run(spark, sf_dir):
-    """All stages over documents, each written as Parquet and reread as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run", "written"]

@@ -135,7 +135,8 @@ class SuffixIndex:
         self.levels.append((1, batch))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels[-2:]
-            both = a.unionByName(b).repartition("g").sortWithinPartitions("g", "ctx")
+            order = ["g", "ctx", "dk", "s"]  # ranges of all four, so that a common prefix doesn't lie in one task
+            both = a.unionByName(b).repartitionByRange(*order).sortWithinPartitions(*order)
             self.levels[-2:] = [(n + m, written(both, "level"))]
             for old in (a, b):
                 dropped(old.sparkSession, old)
@@ -321,28 +322,28 @@ def _cut(docs: DataFrame, as_text: bool, **options) -> tuple[DataFrame, list[str
 
     @F.pandas_udf(span)
     def merged(column: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [{"b": b, "e": e} for b, e in _merged(x)] for x in column])
+        return pd.Series([[] if x is None else [{"b": b, "e": e} for b, e in _merged(x)] for x in column])
 
     @F.pandas_udf("string" if as_text else "binary")
     def remaining(texts: pd.Series, column: pd.Series) -> pd.Series:
         out = []
         for text, cuts in zip(texts, column):
-            if text is None:
+            if text is None or cuts is None:
                 out.append(None)
                 continue
             t, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
-            for x in cuts:
-                parts.append(t[at : x["b"]])
-                at = x["e"]
+            for b, e in _merged(cuts):
+                parts.append(t[at:b])
+                at = e
             left = b"".join([*parts, t[at:]])
             out.append(left.decode("utf-8", "ignore") if as_text else left)
         return pd.Series(out, dtype=object)
 
-    none, text = F.array().cast(span), F.coalesce("_text", F.lit(""))
-    both = sized(d, spans, "_dk", how="left").withColumn("spans", F.coalesce(merged("_spans"), none))
-    cut = remaining(F.when(F.size("spans") > 0, F.col("_text")), F.col("spans"))
+    text = F.coalesce("_text", F.lit(""))
+    both = sized(d, spans, "_dk", how="left")
+    cut = remaining(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans"))  # both functions see one step of Python
     kept = F.coalesce(cut, text if as_text else F.encode(text, "UTF-8"))
-    return both.select(*own, kept.alias("kept"), "spans", F.octet_length(text).cast("long").alias("n_bytes")), own
+    return both.select(*own, kept.alias("kept"), merged("_spans").alias("spans"), F.octet_length(text).cast("long").alias("n_bytes")), own
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:

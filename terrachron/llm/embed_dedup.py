@@ -1,15 +1,17 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Vectors with the same label and values are one class. Each class joins the shards of its `overlap` nearest centres (a
-bounded sample of vectors), inside its label; shards of over `block` classes are dealt into blocks that meet in pairs. Every
-shard links each class to its nearest ones and prunes them robustly (a neighbour goes if one kept before is nearer to it,
-times `alpha`, than the class is); reverse links are added. The adjacency lists of overlapping shards are united. Then every
-class searches its shards: greedily from the medoid and its own node, keeping `beam` candidates, and expanding every node
-found within the range until none is left. What the search found is verified in double precision. A pair that meets in several
-shards counts in the first they share. audit() measures the share of links found against brute force.
+Vectors with the same label and values are one class. Each class joins the shards of its nearest centres (a bounded sample of
+vectors), inside its label: of so many that, of pairs made at just the similarity asked for, all but `miss` share a shard.
+Shards of over `block` classes are dealt into blocks that meet in pairs. Every shard links each class to its nearest ones
+and prunes them robustly (a neighbour goes if one kept before is nearer to it, times `alpha`, than the class is); reverse
+links are added. The adjacency lists of overlapping shards are united. Then every class searches: greedily from the medoid and its
+own node, keeping `beam` candidates, and expanding every node found within the range until none is left. Where the united
+graph leads out of the shards, to a node that can be in range by the angles on the way, the search goes on by joins. What
+it finds is verified in double precision. A pair that meets in several shards counts in the first they share. audit() measures
+the share of links found against brute force; below `recall` everything is done again with twice as many shards for each class.
 
 Defined results: null labels, and vectors that are null, zero, hold null or non-finite components or differ in length from most,
-link with nothing; repeated rows are others to each other only where their vec_id differs or both rows are listed; an
+link with nothing; labels are of any type that can be compared; vectors are scaled before their length is taken, so that none is too large or small; repeated rows are others to each other only where their vec_id differs or both rows are listed; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -20,11 +22,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import table, written
+from ._util import bounded, table, written
 from .ann import stacked, usable
 from .graph import components
 
 
+def units(column) -> np.ndarray:
+    """The vectors at length 1, by way of their largest component, whose square might not be a number of this precision."""
+    x = stacked(column)
+    x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+
+def shards_needed(x: np.ndarray, centres: np.ndarray, least: float, miss: float, seed: int = 5) -> int:
+    """Of how many nearest centres a vector must join the shards, so that pairs at similarity `least` share one, but for `miss`."""
+    rng = np.random.default_rng(seed)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = least * x + np.sqrt(1 - least * least) * side / (np.linalg.norm(side, axis=1, keepdims=True) + 1e-30)
+    a, b = (np.argsort(np.argsort(-(z @ centres.T), 1, kind="stable"), 1) for z in (x, y))
+    worst = np.maximum(a, b).min(1)  # both are within so many
+    return int(np.quantile(worst, 1 - miss, method="higher")) + 1
+
+
 def pruned(x: np.ndarray, k: int = 32, degree: int = 16, alpha: float = 1.2) -> list[np.ndarray]:
     """Adjacency of unit vectors x: k nearest, robustly pruned to `degree`, with reverse links."""
     n = len(x)
@@ -118,32 +138,55 @@ def _groups(batches, names):
         yield carry.reset_index(drop=True)
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_centre: int = 2048, most_centres: int = 1024, block: int = 1024) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_centre: int = 2048, most_centres: int = 1024, block: int = 1024, miss: float = 0.003, recall: float = 0.98) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row; overlap: the least number of shards for a class."""
     spark = rows.sparkSession
+    bounded(spark)
+    label = rows.schema["label"].dataType.simpleString()
     v = usable(rows.where("label is not null").select("vec_id", "embedding", "label")).withColumn("ck", F.xxhash64("label", "v"))
     of = written(v.select("vec_id", "ck", "label", "v"), "vectors")
-    c = written(of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
-    n = c.count()
+    classes = written(of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
+    n = classes.count()
     every = max(1, min(n // 64, per_centre)) if n <= per_centre * most_centres else n // most_centres
-    some = c.where(F.pmod(F.xxhash64("ck", F.lit(1)), F.lit(every)) == 0).limit(2 * max(64, most_centres)).select("v").toPandas()
-    centres = stacked(some.v) if len(some) else None
-    if centres is not None:
-        centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-    held = spark.sparkContext.broadcast(centres)
+    pick = lambda seed, many: classes.orderBy(F.xxhash64("ck", F.lit(seed)), "cid").limit(many).select("v").toPandas()
+    some = pick(1, -(-n // every)) if n else []
+    centres = units(some.v) if len(some) else None
+    if centres is not None and len(centres) > overlap:
+        overlap = max(overlap, shards_needed(units(pick(2, 2000).v), centres, least, miss))
+    while True:
+        met = _links(classes, label, centres, least, overlap, block)
+        links = met.groupBy("cid").agg(F.sum("links").alias("links"))
+        comp = components(met.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
+        per = of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")).join(links, "cid", "left").join(comp, "cid", "left")
+        per = per.select("ck", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+        linked = of.select("vec_id", "ck").join(per, "ck").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+        out = rows.select("vec_id").join(linked, "vec_id", "left")
+        comp = F.coalesce("component_id", "vec_id")
+        out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
+        out = written(out, "result")
+        got = audit(rows, out, least)
+        if got is None or got >= recall or centres is None or overlap >= len(centres):
+            return out
+        overlap *= 2
+
+
+def _links(classes: DataFrame, label: str, centres, least: float, overlap: int, block: int) -> DataFrame:
+    """(cid, links, root): links of each class, and a class that it is linked with, for the components."""
+    held = classes.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
         for b in batches:
-            for a in range(0, len(b), 4096):
-                d = b.iloc[a : a + 4096]
+            for a in range(0, len(b), 1024):
+                d = b.iloc[a : a + 1024]
                 if held.value is None:
                     to = np.zeros((len(d), 1), np.int64)
                 else:
-                    to = np.argsort(-(stacked(d["v"]) @ held.value.T), 1, kind="stable")[:, :overlap]
+                    to = np.argsort(-(units(d["v"]) @ held.value.T), 1, kind="stable")[:, :overlap]
                 yield d.assign(shards=[sorted(x.tolist()) for x in to])
 
-    c = c.select("cid", "m", "label", "v").mapInPandas(assign, "cid long, m long, label int, v array<double>, shards array<long>")
-    c = written(c.withColumn("g", F.explode("shards")), "shards")
+    c = classes.select("cid", "m", "label", "v").mapInPandas(assign, f"cid long, m long, label {label}, v array<double>, shards array<long>")
+    at = written(c, "assigned")
+    c = at.withColumn("g", F.explode("shards"))
     size = c.groupBy("label", "g").agg(F.ceil(F.count("*") / block).alias("blocks"))
     c = c.join(size, ["label", "g"]).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
     other = F.explode(F.expr("sequence(0L, greatest(blocks, 1L) - 1)"))
@@ -153,29 +196,30 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_
 
     def build(batches):
         for d in _groups(batches, key):
-            x = stacked(d["v"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            cid = d["cid"].to_numpy()
-            yield pd.DataFrame({"cid": cid, "to": [cid[a].tolist() for a in pruned(x)]})
+            x, cid = units(d["v"]), d["cid"].to_numpy()
+            lists = pruned(x)
+            yield pd.DataFrame({"cid": cid, "to": [[{"w": int(cid[j]), "s": float(x[i] @ x[j])} for j in a] for i, a in enumerate(lists)]})
 
     sorted_ = c.repartition(*key).sortWithinPartitions(*key, "cid")
-    adj = sorted_.select(*key, "cid", "v").mapInPandas(build, "cid long, to array<long>")
-    adj = written(adj.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to")), "adjacency")
+    shape = "array<struct<w: long, s: double>>"
+    adj = sorted_.select(*key, "cid", "v").mapInPandas(build, f"cid long, to {shape}").select("cid", F.explode("to").alias("to"))
+    adj = adj.groupBy("cid", F.col("to.w").alias("w")).agg(F.max("to.s").alias("s")).groupBy("cid").agg(F.collect_list(F.struct("w", "s")).alias("to"))
+    adj = written(adj, "adjacency")
+    reach = np.arccos(least) * 2  # an edge leads from one in range to another one in range only below this angle
 
     def search(batches):
         for d in _groups(batches, key):
             cid, m, g = d["cid"].to_numpy(), d["m"].to_numpy(), int(d["g"][0])
-            if len(cid) < 2:
-                continue
-            x = stacked(d["v"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = units(d["v"])
             order = np.argsort(cid)
-            lists = []
+            lists, leads = [], []
             for to in d["to"]:
-                to = np.asarray(to, np.int64)
-                at = np.minimum(np.searchsorted(cid, to, sorter=order), len(cid) - 1)
-                at = order[at]
-                lists.append(at[cid[at] == to])
+                w = np.array([y["w"] for y in to], np.int64)
+                at = order[np.minimum(np.searchsorted(cid, w, sorter=order), len(cid) - 1)]
+                here = cid[at] == w
+                lists.append(at[here])
+                far = np.array([np.arccos(min(1.0, max(-1.0, y["s"]))) <= reach + 1e-6 for y in to], bool)
+                leads.append(w[~here & far])
             link = found(x, lists, least - 1e-4) >= least - 1e-4
             np.fill_diagonal(link, False)
             link |= link.T
@@ -193,49 +237,66 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_
                 side = d["own"].to_numpy()
                 counts &= side[:, None] != side[None]
             links = counts @ m
-            label = cid.copy()
+            name = cid.copy()
             both = link | np.eye(len(cid), dtype=bool)
             while True:
-                new = np.where(both, label[None], np.iinfo(np.int64).max).min(1)
-                if (new == label).all():
+                new = np.where(both, name[None], np.iinfo(np.int64).max).min(1)
+                if (new == name).all():
                     break
-                label = new
-            ok = (links > 0) | (label != cid)
-            yield pd.DataFrame({"cid": cid[ok], "links": links[ok], "root": label[ok]})
-
-    s = c.join(adj, "cid").select(*key, "cid", "m", "v", "shards", "own", "to").repartition(*key).sortWithinPartitions(*key, "cid")
-    met = written(s.mapInPandas(search, "cid long, links long, root long"), "links")
-    links = met.groupBy("cid").agg(F.sum("links").alias("links"))
-    comp = components(met.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
-    per = of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")).join(links, "cid", "left").join(comp, "cid", "left")
-    per = per.select("ck", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    linked = of.select("vec_id", "ck").join(per, "ck").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("vec_id").join(linked, "vec_id", "left")
-    comp = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
-
-
-def audit(rows: DataFrame, result: DataFrame, least: float = 0.93, queries: int = 256) -> float:
-    """Share of the links of a bounded set of query vectors, by brute force over all rows, that n_links has."""
+                name = new
+            out = [sorted({int(w) for j in np.flatnonzero(both[i]) for w in leads[j]}) if any(len(z) for z in leads) else [] for i in range(len(cid))]
+            ok = (links > 0) | (name != cid) | np.array([len(o) > 0 for o in out])
+            yield pd.DataFrame({"cid": cid[ok], "links": links[ok], "root": name[ok], "out": pd.Series([o for o, k in zip(out, ok) if k], dtype=object)})
+
+    s = c.join(adj, "cid", "left").withColumn("to", F.coalesce("to", F.array().cast(shape)))
+    s = s.select(*key, "cid", "m", "v", "shards", "own", "to").repartition(*key).sortWithinPartitions(*key, "cid")
+    met = written(s.mapInPandas(search, "cid long, links long, root long, out array<long>"), "links")
+    every = met.select("cid", "links", "root")
+    # the search goes on beyond the shards: pairs that share none, each once
+    near = np.cos(min(np.pi, reach + 1e-6))
+    edge = adj.select("cid", F.explode("to").alias("e")).where(F.col("e.s") >= float(near)).select("cid", F.col("e.w").alias("w"))
+    node = at.select("cid", "m", "v", "shards")
+    ask, seen = met.select(F.col("cid").alias("p"), F.explode("out").alias("q")), None
+    while True:
+        ask = ask.where("p != q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+        if seen is not None:
+            ask = ask.join(seen.select("p", "q"), ["p", "q"], "left_anti")
+        d = ask.join(node.select(F.col("cid").alias("p"), F.col("v").alias("x"), F.col("m").alias("pm"), F.col("shards").alias("ps")), "p")
+        d = d.join(node.select(F.col("cid").alias("q"), F.col("v").alias("y"), F.col("m").alias("qm"), F.col("shards").alias("qs")), "q").where(~F.arrays_overlap("ps", "qs"))
+
+        @F.pandas_udf("double")
+        def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series(np.einsum("ij,ij->i", units(x), units(y)) if len(x) else np.zeros(0))
+
+        d = written(d.select("p", "q", "pm", "qm", cosine("x", "y").alias("s")), "beyond")
+        if not d.count():
+            return every
+        seen = d.select("p", "q") if seen is None else seen.unionByName(d.select("p", "q"))
+        hit = d.where(F.col("s") >= least)
+        every = every.unionByName(hit.select(F.col("p").alias("cid"), F.col("qm").alias("links"), F.col("q").alias("root"))).unionByName(hit.select(F.col("q").alias("cid"), F.col("pm").alias("links"), F.col("p").alias("root")))
+        both = hit.select("p", "q").unionByName(hit.select(F.col("q").alias("p"), F.col("p").alias("q")))
+        ask = both.join(edge.withColumnRenamed("cid", "q"), "q").select("p", F.col("w").alias("q"))
+
+
+def audit(rows: DataFrame, result: DataFrame, least: float = 0.93, queries: int = 256) -> float | None:
+    """Share of the links of a bounded set of query vectors, by brute force over all rows, that n_links has; None if they have none."""
     v = usable(rows.where("label is not null").select("vec_id", "embedding", "label"))
-    every = max(1, v.count() // queries)
-    q = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * queries).toPandas()
+    q = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).toPandas()
     if not len(q):
-        return 1.0
-    x = stacked(q.v)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids, labels = q.vec_id.to_numpy(), q.label.to_numpy()
+        return None
+    x, ids, labels = units(q.v), q.vec_id.to_numpy(), q.label.to_numpy()
 
     def count(batches):
+        true = np.zeros(len(ids), np.int64)
         for b in batches:
-            y = stacked(b["v"])
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            y = units(b["v"])
             hit = (x @ y.T >= least) & (labels[:, None] == b["label"].to_numpy()[None]) & (ids[:, None] != b["vec_id"].to_numpy()[None])
-            yield pd.DataFrame({"vec_id": ids, "true": hit.sum(1)})
+            true += hit.sum(1)
+        yield pd.DataFrame({"vec_id": ids, "true": true})
 
     true = v.select("vec_id", "label", "v").mapInPandas(count, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
     r = true.join(result, "vec_id").agg(F.sum(F.least("true", "n_links")).alias("got"), F.sum("true").alias("all")).first()
-    return r["got"] / r["all"] if r["all"] else 1.0
+    return r["got"] / r["all"] if r["all"] else None
 
 
 def op2_embed_dedup(spark, sf_dir):

@@ -146,9 +146,30 @@ def test_embed_dedup(spark, vectors, block):
     assert (mine <= n).all() and mine.sum() >= 0.97 * n.sum()
     assert all(rows[i].n_links == 0 and rows[i].component_id == i and rows[i].kept for i in range(950, 957))
     assert len({rows[i].component_id for i in (1, 900, 901, 902, 903, 904)}) == 1
+    assert embed_dedup.audit(d.limit(0), got.limit(0)) is None
     assert embed_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embed_dedup_sizes_and_labels(spark):
+    """Any label type; vectors too large or too small for a plain square root of squares."""
+    rows = [(0, [1e200, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1e-300, 1e-320], "a"), (3, [0.0, 1.0], "a"), (4, [1.0, 0.0], "b"), (5, [1.0, 0.0], None)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 0, True), (2, 0, False), (2, 0, False), (0, 3, True), (0, 4, True), (0, 5, True)]
+
+
+def test_embed_dedup_planted_pairs(spark):
+    """Pairs at just over the threshold and nothing else near, with hundreds of centres."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), per_centre=16).collect()}
+    assert sum(got[i] > 0 for i in range(8000)) >= 0.985 * 8000
+
+
 def test_ann(spark, vectors):
     d = spark.createDataFrame(vectors, ROWS)
     got = ann.search(d, "vec_id % 20 = 0", block=100).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def change_to_diff(change: DataFrame, history: DataFrame, ignore_missing: bool = False) -> DataFrame:
@@ -12,11 +13,11 @@ def change_to_diff(change: DataFrame, history: DataFrame, ignore_missing: bool =
     change: action (create, modify, delete), type, id, version, element. history: type, id, version, element; it may
     hold the change itself. The old state is the greatest version below the changed one. Without one a modify or delete is an
     error, or with ignore_missing counts as create. visible: what the new state is."""
-    c, key = change, ["type", "id", "version"]
-    h = history.select(F.col("type").alias("_t"), F.col("id").alias("_i"), F.col("version").alias("_v"), F.col("element").alias("_e"))
-    j = c.where("action != 'create'").select(*key).distinct().join(h, (F.col("type") == F.col("_t")) & (F.col("id") == F.col("_i")) & (F.col("_v") < F.col("version")), "left")
-    old = j.groupBy(*key).agg(F.max_by("_e", "_v").alias("old"))
-    d = c.join(old, key, "left").withColumn("old", F.when(F.col("action") != "create", F.col("old")))
+    h = history.select("type", "id", "version", F.col("element").alias("_e"), F.lit(False).alias("_new"))
+    both = change.withColumn("_new", F.lit(True)).unionByName(h, allowMissingColumns=True)
+    below = Window.partitionBy("type", "id").orderBy("version").rangeBetween(Window.unboundedPreceding, -1)
+    old = F.when(F.col("action") != "create", F.last("_e", ignorenulls=True).over(below))
+    d = both.withColumn("old", old).where("_new")
     missing = (F.col("action") != "create") & F.col("old").isNull()
     if not ignore_missing:
         said = F.concat(F.lit("no previous version of "), F.col("type"), F.lit("/"), F.col("id").cast("string"))

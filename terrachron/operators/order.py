@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..tables import written
 
 
 def edges(relations: DataFrame) -> DataFrame:
@@ -14,15 +17,20 @@ def edges(relations: DataFrame) -> DataFrame:
 
 def child_first(ids, relations: DataFrame) -> list[int]:
     """The ids asked for and all they contain, children first, by depth-first search; a relation met on its own path ends the
-    walk there, and is given later if it is reached otherwise. The edges among relations, without other members, are
-    gathered on the driver: this gives one exact order. For levels over everything, see levels()."""
-    there = {r.id for r in relations.select("id").distinct().toLocalIterator()}
-    kids: dict[int, list[int]] = {}
-    seen_at = relations.select("id", "version", F.posexplode("members").alias("i", "m")).where("m.type = 'relation'")
-    for r in seen_at.select("id", "version", "i", F.col("m.ref").alias("ref")).orderBy("id", "version", "i").toLocalIterator():
-        kids.setdefault(r.id, [])
-        if r.ref not in kids[r.id]:
-            kids[r.id].append(r.ref)
+    walk there, and is given later if it is reached otherwise. What the ids reach, and no more, is gathered on the driver, level
+    by level, as the order is one list: for levels over everything, see levels()."""
+    spark, there, kids = relations.sparkSession, set(), {}
+    seen_at = relations.select("id", "version", F.posexplode_outer("members").alias("i", "m"))
+    seen_at = seen_at.select("id", "version", "i", F.when(F.col("m.type") == "relation", F.col("m.ref")).alias("ref"))
+    ask = list(dict.fromkeys(ids))
+    while ask:
+        some = spark.createDataFrame([(i,) for i in ask], "id long")
+        for r in seen_at.join(F.broadcast(some), "id", "left_semi").orderBy("id", "version", "i").toLocalIterator():
+            there.add(r.id)
+            if r.ref is not None and r.ref not in kids.setdefault(r.id, []):
+                kids[r.id].append(r.ref)
+        ask = list(dict.fromkeys(k for i in ask for k in kids.get(i, ()) if k not in there))
+        ask = [k for k in ask if k not in kids]
     out, done = [], set()
     for top in ids:
         stack, path = [(top, iter(kids.get(top, ())))], {top}
@@ -48,13 +56,29 @@ def child_first(ids, relations: DataFrame) -> list[int]:
     return out
 
 
-def levels(relations: DataFrame, most: int = 64) -> DataFrame:
-    """id, level: 0 for relations without member relations, else one more than the highest member; cycles stop at `most`."""
-    spark = relations.sparkSession
-    edges(relations).createOrReplaceTempView("_tc_edges")
-    relations.select("id").distinct().createOrReplaceTempView("_tc_relations")
-    return spark.sql(f"""
-      WITH RECURSIVE up(id, level) MAX RECURSION LEVEL {most + 2} AS (
-        SELECT id, 0 FROM _tc_relations
-        UNION ALL SELECT e.parent, u.level + 1 FROM up u JOIN _tc_edges e ON e.child = u.id WHERE u.level < {most})
-      SELECT id, max(level) AS level FROM up GROUP BY id""")
+def levels(relations: DataFrame) -> DataFrame:
+    """id, level: 0 for relations without member relations that are there, else one more than the highest of them; null for those in
+    a cycle and above it. Relations whose members are all done are done next; what is left is written after every round, of which
+    there are as many as levels."""
+    ids = relations.select("id").distinct()
+    left = edges(relations).join(ids.withColumnRenamed("id", "child"), "child", "left_semi")
+    left, open_, done, level = written(left, "edges"), written(ids, "open"), None, 0
+    while True:
+        leaves = open_.join(left.select(F.col("parent").alias("id")), "id", "left_anti")
+        leaves = written(leaves.withColumn("level", F.lit(level)), "level")
+        if not leaves.take(1):
+            rest = open_.withColumn("level", F.lit(None).cast("int"))
+            return rest if done is None else done.unionByName(rest)
+        done = leaves if done is None else done.unionByName(leaves)
+        open_ = written(open_.join(leaves.select("id"), "id", "left_anti"), "open")
+        left = written(left.join(leaves.select(F.col("id").alias("child")), "child", "left_anti"), "edges")
+        level += 1
+
+
+def ranked(rows: DataFrame, *key: str) -> DataFrame:
+    """rows with rank (from 1) in the order of key, over ranges of it, so that no task sees all rows."""
+    d = written(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    size = d.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row for each task
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*key))
+    return d.join(F.broadcast(size), "_range").withColumn("rank", F.col("_before") + own).drop("_range", "_before")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+BASE = "2024-01-01 00:00:00"
 #: Each view as SQL that Spark and DuckDB both run; q(name) is the name of a table or view before it.
 VIEWS = {
     "node_v": """SELECT p_partkey + 1 AS id, (p_partkey * 7 % 1700) / 10.0E0 - 85 AS lat, (p_partkey * 13 % 3600) / 10.0E0 - 180 AS lon,

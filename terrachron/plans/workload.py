@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, ids, tags, times
-from ..operators import container, diff, features, history, joins, order, rings, stats
+from ..operators import container, diff, features, history, joins, order, stats
 from .catalogue import register
 from .views import Tables, with_views
 
@@ -55,9 +55,11 @@ def node_history(t, committed=True):
     return h.select("id", "version", "visible", "changeset", F.col("ts").alias("timestamp"), (F.col("ts") if committed else F.lit(None).cast("timestamp")).alias("committed"), "lat", "lon")
 
 
-def way_history(t, committed=True):
+def way_history(t, committed=True, many=1):
+    """Histories of orders; their nodes are users, or with many=2 as many others that have no history."""
+    users = F.broadcast(t.events.select((many * F.count_distinct("user_id")).alias("users")))  # one row
     w = t.way_hist.withColumn("timestamp", F.col("base").cast("timestamp") + F.make_interval(hours=F.col("off_h").cast("int")))
-    r = t.ref_v.groupBy((F.col("way_id") - 1).alias("key")).agg(F.array_sort(F.collect_list(F.struct("idx", F.pmod("ref", F.lit(150)).alias("ref")))).alias("r"))
+    r = t.ref_v.crossJoin(users).groupBy((F.col("way_id") - 1).alias("key")).agg(F.array_sort(F.collect_list(F.struct("idx", F.pmod("ref", "users").alias("ref")))).alias("r"))
     w = w.join(r, "key").withColumn("nodes", F.transform("r", lambda x: _nd(x["ref"].cast("bigint"))))
     # versions in order of time, as histories are
     w = w.withColumn("version", F.row_number().over(Window.partitionBy("id").orderBy("timestamp", "key")))
@@ -84,7 +86,7 @@ def _(t):
 def _(t):
     u = t.node_hist.select("id", F.col("version").cast("bigint").alias("version")).unionByName(t.node_v.select("id", F.col("version").cast("bigint").alias("version")))
     p = u.withColumn("p", ids.pack(F.lit("node"), "id", "version"))
-    return p.select(F.row_number().over(Window.orderBy("p")).cast("bigint").alias("rank"), "id", "version")
+    return order.ranked(p, "p").select(F.col("rank").cast("bigint").alias("rank"), "id", "version")
 
 
 @query("count_types", "SELECT (SELECT count(*) FROM node_v) AS nodes, (SELECT count(*) FROM way_v) AS ways, (SELECT count(DISTINCT rel_id) FROM member_v) AS relations")
@@ -256,7 +258,9 @@ def _(t):
 
 _AS_OF = """WITH w AS (SELECT id, key, base + to_hours(off_h) AS ts, row_number() OVER (PARTITION BY id ORDER BY base + to_hours(off_h), key) AS version FROM way_hist WHERE key + 1 IN (SELECT way_id FROM ref_v)),
   p AS (SELECT *, lead(ts) OVER (PARTITION BY id ORDER BY version) AS nxt FROM w),
-  r AS (SELECT p.*, ref_v.idx, ref_v.ref % 150 AS ref FROM p JOIN ref_v ON ref_v.way_id = p.key + 1)"""
+  r AS (SELECT p.*, ref_v.idx, ref_v.ref % {users} AS ref FROM p JOIN ref_v ON ref_v.way_id = p.key + 1)"""
+USERS = "(SELECT count(DISTINCT user_id) FROM events)"
+_AS_OF, _AS_OF_MANY = _AS_OF.replace("{users}", USERS), _AS_OF.replace("{users}", USERS.replace("count", "2 * count"))
 
 
 @query("annotate_ways", _AS_OF + """, s AS (SELECT r.id, r.version, r.idx, r.ref, max(h.version) FILTER (WHERE h.ts <= r.ts) AS v FROM r JOIN node_hist h ON h.id = r.ref GROUP BY r.id, r.version, r.idx, r.ref)
@@ -268,13 +272,22 @@ def _(t):
     return d.join(there, F.col("ref") == F.col("_i"), "left_semi")
 
 
-@query("annotate_updates")
+@query("annotate_updates", _AS_OF + """, s AS (SELECT r.id, r.version, r.idx, r.ref, r.ts, r.nxt, count(*) AS size, count(*) FILTER (WHERE h.ts < r.ts) AS cb, count(*) FILTER (WHERE h.ts < r.nxt) AS nb,
+    arg_max(h, h.version) FILTER (WHERE h.ts <= r.ts) AS c, arg_max(h, h.version) FILTER (WHERE h.ts <= r.nxt) AS n FROM r JOIN node_hist h ON h.id = r.ref GROUP BY r.id, r.version, r.idx, r.ref, r.ts, r.nxt),
+  e AS (SELECT *, CASE WHEN c.visible THEN c.version ELSE cb END + 1 AS first,
+    CASE WHEN nxt IS NULL THEN size WHEN n.visible THEN n.version - CASE WHEN n.ts < nxt THEN 0 ELSE 1 END WHEN c.visible AND nxt <= c.ts THEN 0 ELSE nb END AS last FROM s)
+  SELECT e.id, CAST(e.version AS INT) AS version, e.idx, h.version AS to_version, h.ts AS at, h.changeset, h.lat FROM e JOIN node_hist h ON h.id = e.ref AND h.version BETWEEN e.first AND e.last AND h.visible""")
 def _(t):
     d = history.annotate_ways(way_history(t), node_history(t), ignore_inconsistency=True, ignore_missing=True)
-    return d.select("id", "version", F.explode("updates").alias("u")).select("id", "version", "u.*")
+    u = F.col("u")
+    d = d.select("id", "version", F.explode("updates").alias("u"))
+    return d.select("id", "version", u["index"].alias("idx"), u["version"].alias("to_version"), u["timestamp"].cast("timestamp_ntz").alias("at"), u["changeset"].alias("changeset"), u["lat"].alias("lat"))
 
 
-@query("annotate_ways_fuzzy")
+# versions up to the parent's time count from half an hour before it by nearness, and earlier ones as they were
+@query("annotate_ways_fuzzy", _AS_OF + """, s AS (SELECT r.id, r.version, r.idx, r.ref, max(h.version) FILTER (WHERE h.visible AND h.ts BETWEEN r.ts - INTERVAL 30 MINUTE AND r.ts) AS near,
+    arg_max(h, h.version) FILTER (WHERE h.ts < r.ts - INTERVAL 30 MINUTE OR h.ts = r.ts - INTERVAL 30 MINUTE AND NOT h.visible) AS b FROM r JOIN node_hist h ON h.id = r.ref GROUP BY r.id, r.version, r.idx, r.ref)
+  SELECT id, CAST(version AS INT) AS version, idx, ref, coalesce(near, CASE WHEN b.visible THEN b.version END) AS seen FROM s""")
 def _(t):
     d = history.annotate_ways(way_history(t, False), node_history(t, False), ignore_inconsistency=True, ignore_missing=True)
     d = d.select("id", "version", F.posexplode("nodes").alias("idx", "n"))
@@ -291,19 +304,15 @@ def _(t):
 # features and rings
 
 
-@query("way_features")
+@query("geojson", """WITH n AS (SELECT way_id AS id, count(*) + CASE WHEN (way_id - 1) % 3 = 0 THEN 1 ELSE 0 END AS size FROM ref_v GROUP BY way_id), w AS (SELECT id FROM n WHERE size > 1)
+  SELECT 0 AS "order", 'relation/' || rel_id AS feature_id, rel_id AS id, 'Feature' AS kind, 'route' AS tag FROM (SELECT DISTINCT rel_id FROM member_v WHERE ref IN (SELECT id FROM w)) r
+  UNION ALL SELECT 1, 'way/' || w.id, w.id, 'Feature', status FROM w JOIN way_v ON way_v.id = w.id UNION ALL SELECT 2, 'node/' || id, id, 'Feature', brand FROM node_v""")
 def _(t):
-    return features.way_features(ways(t), nodes(t))
-
-
-@query("geojson")
-def _(t):
-    return features.as_text(features.convert(nodes(t), ways(t), relations(t)))
-
-
-@query("joined_rings")
-def _(t):
-    return rings.joined(relations(t), joins.way_points(ways(t), nodes(t)))
+    routes = relations(t).withColumn("tags", F.array(F.struct(F.lit("type").alias("k"), F.lit("route").alias("v"))))
+    d = features.as_text(features.convert(nodes(t), ways(t), routes))
+    get = lambda path: F.get_json_object("value", path)
+    tag = F.coalesce(get("$.properties.tags.type"), get("$.properties.tags.status"), get("$.properties.tags.brand"))
+    return d.select("order", get("$.id").alias("feature_id"), "id", get("$.type").alias("kind"), tag.alias("tag"))
 
 
 def _levels(t):
@@ -323,7 +332,8 @@ def _(t):
     return order.levels(_levels(t))
 
 
-@query("child_first")
+@query("child_first", """SELECT row_number() OVER (ORDER BY r, n NULLS LAST, c NULLS LAST) - 1 AS rank, CAST(id AS BIGINT) AS id FROM (SELECT n_regionkey AS r, n_nationkey AS n, c_custkey AS c, c_custkey + 100000 AS id FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, n_nationkey, NULL, n_nationkey + 1000 FROM nation UNION ALL SELECT r_regionkey, NULL, NULL, r_regionkey + 10 FROM region) x""")
 def _(t):
     r = _levels(t)
     got = order.child_first([x.id for x in t.region.select((F.col("r_regionkey") + 10).cast("bigint").alias("id")).orderBy("id").collect()], r)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import tags
@@ -36,6 +37,25 @@ def read(spark: SparkSession, path) -> dict[str, DataFrame]:
     }
 
 
+def _others() -> T.StructType:
+    """Fields of changesets, notes and users together."""
+    out = T.StructType.fromDDL("type string, tags map<string, string>, discussion struct<comments: array<struct<user: string, uid: bigint, date: timestamp, text: string>>>")
+    for ddl in (schema.CHANGESETS, schema.NOTES, schema.USERS):
+        for f in T.StructType.fromDDL(ddl).fields:
+            out = out if f.name in out.names else out.add(f)
+    return out
+
+
+def read_others(spark: SparkSession, path) -> dict[str, DataFrame]:
+    """changeset, note and user tables of documents; times that are unset are null."""
+    doc = spark.read.schema(T.StructType([T.StructField("elements", T.ArrayType(_others()))])).option("multiLine", True).json(path)
+    e = doc.select(F.explode("elements").alias("e")).select("e.*")
+    unset = lambda c: F.when(F.col(c) >= F.lit("0002-01-01").cast("timestamp"), F.col(c))
+    e = e.withColumns({c: unset(c) for c in ("created_at", "closed_at", "date_created", "date_closed")})
+    e = e.withColumns({"tags": F.coalesce(tags.from_map("tags"), F.array().cast(schema.TAGS)), "discussion": F.col("discussion")["comments"]})
+    return {k: e.where(F.col("type") == k).select(*T.StructType.fromDDL(schema.TABLES[k]).names) for k in ("changeset", "note", "user")}
+
+
 ORDER = ("node", "way", "relation", "changeset", "user", "note")
 
 

@@ -26,3 +26,9 @@ def states(spark: SparkSession, folder: str, kind: str = "minute") -> DataFrame:
 def changes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Changed elements by kind over all of a feed's change files; compressed ones by suffix."""
     return xml.read_change(spark, f"{folder.rstrip('/')}/*/*/*.osc*")
+
+
+def changesets(spark: SparkSession, folder: str) -> DataFrame:
+    """Changesets over all of a changeset feed's files, with the number of the file that each came from."""
+    d = xml.read(spark, f"{folder.rstrip('/')}/*/*/*.osm*", "changeset")
+    return d.withColumn("seq", seq_of_path(F.input_file_name()))

@@ -121,7 +121,7 @@ def test_levels_of_diamonds_and_cycles(spark):
     for k in range(3):  # each diamond doubles the number of ways down
         kids |= {10 * k: [10 * k + 1, 10 * k + 2], 10 * k + 1: [10 * k + 10], 10 * k + 2: [10 * k + 10]}
     kids |= {30: [99], 50: [51], 51: [50], 52: [51], 53: [53]}  # 99 is not there; a cycle, what is above it, a loop
-    rows = [(i, 1, [("relation", k, "")for k in c]) for i, c in kids.items()]
+    rows = [(i, 1, [("relation", k, "") for k in c]) for i, c in kids.items()]
     d = spark.createDataFrame(rows, "id long, version int, members array<struct<type: string, ref: long, role: string>>")
     got = {r.id: r.level for r in order.levels(d).collect()}
     assert got == {**{10 * k: 6 - 2 * k for k in range(4)}, **{10 * k + j: 5 - 2 * k for k in range(3) for j in (1, 2)}, 50: None, 51: None, 52: None, 53: None}

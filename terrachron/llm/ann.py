@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import table, written
+from ._util import bounded, table, written
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -155,12 +155,14 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: i
 def search(rows: DataFrame, queries, k: int = 20, sample: int = 4096, parts: int = 64, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row that the condition `queries` picks, among all rows."""
     spark = rows.sparkSession
+    bounded(spark)
     v = written(usable(rows).select("vec_id", "v", F.expr(queries).alias("asks") if isinstance(queries, str) else queries.alias("asks")), "vectors")
     n = v.count()
     every = max(1, n // sample)
-    some = v.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(every)) == 0).limit(2 * sample).toPandas()
+    order = F.xxhash64("vec_id", "v")
+    some = v.where(F.pmod(order, F.lit(every)) == 0).orderBy(order, "vec_id").limit(2 * sample).toPandas()
     if len(some) < 64:
-        some = v.limit(256).toPandas()
+        some = v.orderBy(order, "vec_id").limit(256).toPandas()
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = some.sort_values("vec_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import table, written
+from ._util import bounded, table, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPECIAL = "<|endoftext|>"
@@ -184,6 +184,7 @@ def pack_counts(counts: dict[int, int], capacity: int):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, bucket_rows: int = 50_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    bounded(docs.sparkSession)
     p = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = {r.length: r["count"] for r in p.groupBy("length").count().collect()}  # at most `capacity` rows
     slots, _ = pack_counts(counts, capacity)

@@ -5,7 +5,9 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql.functions import lit
 from terrachron.llm import mixing, queries
+from terrachron.llm._util import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -26,7 +28,9 @@ def folder(spark, tmp_path_factory):
     junk = [" ".join(w + "$$$" for w in make(80).split()) for _ in range(20)]
     rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate([*texts, *junk])] + [(None, make(40), None, None, 5), (200, None, "en", "src0", 0), (201, "", "en", "src1", 0)]
     d = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    more = {"kept": 1, "_dk": 2, "low": 3, "spans": 4, "taken": 5, "key": 6}  # names that stages use inside
+    d0 = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d0.withColumns({c: lit(v) for c, v in more.items()}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, int(i < 64), 0) for i in range(0, 84, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return str(d), passage
 
@@ -37,10 +41,11 @@ def test_stages(spark, folder):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.written(stage(spark, docs, d), name)
+        docs = written(stage(spark, docs, d), name)
         out[name] = docs
         if name != "packing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "_dk", "low", "spans", "taken", "key"]
+            assert docs.select("kept", "_dk", "low", "spans", "taken", "key").distinct().collect() == [(1, 2, 3, 4, 5, 6)]
     ids = {k: {r.doc_id for r in v.select("doc_id").collect()} for k, v in out.items()}
     assert set(range(64)) <= ids["quality"] and not ids["quality"] & set(range(64, 84)) and None in ids["quality"]
     assert ids["quality"] - ids["near"] == {60, 61}

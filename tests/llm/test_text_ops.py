@@ -240,3 +240,62 @@ def test_empty_tables(spark):
     assert lm_score.score(d, bits=(8, 8, 8, 8, 8)).count() == 0
     assert quality.judge(d, labels).count() == 0
     assert pd.DataFrame(d.collect()).empty
+
+
+def fewest(sizes, c):
+    """The least number of bins, by trying."""
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in {b: j for j, b in enumerate(bins)}.values():
+            if bins[k] >= sizes[i]:
+                go(i + 1, [*bins[:k], bins[k] - sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, c - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum():
+    r = random.Random(7)
+    for _ in range(150):
+        c = r.randrange(6, 20)
+        sizes = sorted((r.randrange(1, c + 1) for _ in range(r.randrange(1, 9))), reverse=True)
+        p = packing._Packer(Counter(sizes), c)
+        p.reduce()
+        left = [s for s, n in p.left.items() for _ in range(n)]
+        assert p.sequences + fewest(sorted(left, reverse=True), c) == fewest(sizes, c)
+
+
+def test_quality_posteriors(spark):
+    """Posteriors and scores from the evidence, by hand, with sources and languages that are null, sparse or common."""
+    r = random.Random(3)
+    word = lambda bad: r.choice(["zap$$", "junk##"] if bad else ["fine", "good", "text"])
+    rows = []
+    for i in range(300):
+        source, lang = r.choice(["a", "a", "a", "b", None]) if i % 50 else f"rare{i}", r.choice(["en", "de", None])
+        bad = r.random() < (0.7 if source == "b" else 0.2)
+        rows.append((i, " ".join(word(bad) for _ in range(30)), lang, source, int(not bad)))
+    d = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(x[0], x[4], 0) for x in rows if x[0] % 3 == 0], "doc_id long, quality int, toxic int")
+    got = quality.judge(d, labels).toPandas().sort_values("doc_id")
+    p = 1 / (1 + np.exp(got.low)) / (1 + np.exp(got.toxic))
+    host, path = got.source.fillna("?"), got.source.fillna("?") + "|" + got.lang.fillna("?")
+
+    def shrunk(group, prior):
+        n, g = p.groupby(group).count(), p.groupby(group).sum()
+        m = g.sum() / n.sum()
+        k = min(1e4, max(10.0, m * (1 - m) / max((g * g / n).sum() / n.sum() - m * m, 1e-6) - 1))
+        return group.map((g + k * (m if prior is None else group.map(dict(zip(group, prior))).groupby(group).first())) / (n + k)), m
+
+    h, m = shrunk(host, None)
+    q, _ = shrunk(path, h)
+    logit = lambda x: np.log(x / (1 - x))
+    assert np.allclose(got.host_posterior, h) and np.allclose(got.path_posterior, q)
+    assert np.allclose(got.score, logit(p.clip(1e-9, 1 - 1e-9)) + logit(q) - logit(m))
+    assert (got.keep == (got.score >= 0)).all() and 0 < got.keep.sum() < len(got)

@@ -73,9 +73,12 @@ def _shaped(kind: str, get, visible=None) -> list:
     return [meta("id"), get("display_name").alias("name"), *map(meta, names), get("languages")["lang"].alias("languages"), meta("blocks"), meta("messages"), _set(get("account_created")).alias("created_at")]
 
 
-def read(spark: SparkSession, path, kind: str) -> DataFrame:
-    """All records of one kind, at any depth: so change files are flattened."""
+def read(spark: SparkSession, path, kind: str, any_case: bool = False) -> DataFrame:
+    """All records of one kind, at any depth: so change files are flattened. any_case: also those whose element is named Node or
+    NODE, at the price of two more parses."""
     d = _read(spark, path, kind, _RAW[kind])
+    for tag in (kind.capitalize(), kind.upper()) if any_case else ():
+        d = d.unionByName(_read(spark, path, tag, _RAW[kind]))
     if kind == "user":  # comments of notes name their users in elements of the same name, without id
         d = d.where("id is not null")
     return d.select(*_shaped(kind, F.col))

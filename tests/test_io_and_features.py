@@ -106,6 +106,13 @@ def test_json(spark, tables, tmp_path):
     assert {r.id: r.version for r in js.read(spark, str(tmp_path / "k.json"))["node"].collect()} == {1: 4, 2: None}
 
 
+def test_xml_element_case(spark, tmp_path):
+    (tmp_path / "c.xml").write_text('<osm><Node id="3" lat="1" lon="2" version="5"><tag k="a" v="b"/></Node><node id="4" lat="1" lon="2"/><NODE id="5" lat="0" lon="0"/></osm>')
+    got = {r.id: (r.version, len(r.tags)) for r in xml.read(spark, str(tmp_path / "c.xml"), "node", any_case=True).collect()}
+    assert got == {3: (5, 1), 4: (None, 0), 5: (None, 0)}
+    assert xml.read(spark, str(tmp_path / "c.xml"), "node").count() == 1
+
+
 def bare(spark):
     from terrachron import schema
 

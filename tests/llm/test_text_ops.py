@@ -207,6 +207,36 @@ def test_spelling_is_a_distribution():
     assert (lm_score.packed(np.array([400_000.0, 1.0, 65_536.0, 0.0])) == [65535, 1, 65535, 0]).all()
 
 
+def test_lm_learns_from_every_word(spark):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9))).encode() for _ in range(600)})
+    bits = (8, 10, 10, 12, 12)
+    t = [np.zeros(2 << k, np.float32) for k in bits]
+    codes, _, place = lm_score.grams(words)
+    for cells, bit in lm_score.steps(codes, bits):
+        for o in range(lm_score.ORDERS):
+            np.add.at(t[o], cells[o] * 2 + bit.astype(np.int64), np.bincount(place))
+    held = spark.sparkContext.broadcast([lm_score.packed(x) for x in t])
+
+    def learned(words):
+        d = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").repartition(3)
+        return lm_score.learned(d, 600, held, bits, 100)
+
+    state, n = learned(words)
+    assert n == len(words) and (learned(words)[0] == state).all()
+    for w in r.sample(words, 3):
+        less, m = learned([x for x in words if x != w])
+        assert m == n - 1 and abs(less - state).max() > 0
+
+
+def test_lm_slices_do_not_cost_the_unseen(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(x) for x in ("bdfgk", "aeiou", "lmnr", "aeiou", "pst")[: r.randrange(2, 6)])
+    d = docs_of(spark, [(i, " ".join(word() for _ in range(60))) for i in range(100)])
+    few, every = (lm_score.score(d, bits=(10, 12, 12, 14, 14), sample=s).where("held_out").agg(F.sum("score")).first()[0] for s in (40, 100_000))
+    assert few > 1.01 * every
+
+
 def test_quality(spark):
     r = random.Random(2)
     make = lambda bad, toxic: " ".join(r.choice(["river", "stone", "field", "light"]) + ("$$$" if bad else "") for _ in range(60)) + (" idiot trash" if toxic else "")

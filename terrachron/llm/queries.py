@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, html_extract, lm_score, mixing, ngram_join, packing, pipeline, quality, suffix_dedup, url_filter
+from . import ann, embed_dedup, html_extract, line_dedup, lm_score, mixing, ngram_join, packing, pipeline, quality, suffix_dedup, url_filter
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_quality": quality.op9_quality,
         "op10_ann": ann.op10_ann,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
 def oracle_sql():
     own = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
-    return own | {"op2_embed_dedup": embed_dedup.SQL, "op4_mixing": mixing.SQL, "op7_ngram_join": ngram_join.SQL}
+    return own | {"op2_embed_dedup": embed_dedup.SQL, "op4_mixing": mixing.SQL, "op7_ngram_join": ngram_join.SQL, "op13_line_dedup": line_dedup.SQL}

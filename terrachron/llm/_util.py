@@ -78,6 +78,11 @@ def drawn(rows: DataFrame, key, size, most_rows: int, most_mb: int = 64) -> Data
     return some.withColumn("_sum", before).where(F.col("_sum") <= most_mb * 1_000_000).drop("_h", "_bytes", "_sum")
 
 
+def bound(value, of):
+    """of(value), with value made once: what a lambda refers to is made again for each element otherwise."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def sliced(batches, rows: int = 1000):
     """Batches of at most so many rows: bounds what a step holds at once where texts are long."""
     for b in batches:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, html_extract, line_dedup, lm_score, mixing, ngram_join, packing, pipeline, quality, suffix_dedup, url_filter
+from . import (
+    ann, embed_dedup, html_extract, line_dedup, lm_score, mixing, ngram_join, packing, periodic_runs, pipeline, quality, suffix_dedup, url_filter,
+    whitening,
+)
 
 
 def queries():
@@ -18,6 +21,8 @@ def queries():
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_quality": quality.op9_quality,
         "op10_ann": ann.op10_ann,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 

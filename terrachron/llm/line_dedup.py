@@ -5,7 +5,7 @@ code points that at least `docs` documents hold loses all its lines but those of
 
 Only hashes, document and position of such lines are dealt out: ranges of hashes, sorted inside by document (falling) and
 position, so that the first rows of a hash are the lines that stay and one pass over the rows in order counts its documents.
-Hashes of over one line in 20,000 (hence at most 20,000 of them, broadcast) don't go that way: their documents are counted by
+Hashes of over one line in 20,000, and over 1,000 lines (hence at most 20,000 hashes, broadcast), don't go that way: their documents are counted by
 hash and document, and combined before they are dealt. The result is a bitmap for each document that loses lines, compressed to
 the positions at which it flips; `kept()` applies it.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import dropped, table, written
+from ._util import bound, dropped, table, written
 
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,11 +31,6 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _bound(value, of):
-    """of(value), with value made once: what a lambda refers to is made again for each element otherwise."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _sign(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -64,7 +59,7 @@ def _flips(gone):
 def bitmaps(docs: DataFrame, least: int = 40, in_docs: int = 5, hot: int | None = None) -> DataFrame:
     """doc_id, sign and flips of every document that loses lines. hot: lines of one key that are dealt out by document."""
     e = written(entries(docs, least), "lines")
-    most = max(10_000, e.count() // 20_000) if hot is None else hot
+    most = max(1_000, e.count() // 20_000) if hot is None else hot
     hashes = ["h1", "h2"]
     often = F.broadcast(written(e.groupBy(*hashes).count().where(F.col("count") > most).select(hashes), "often"))
     by_key = Window.partitionBy(*hashes)
@@ -77,7 +72,7 @@ def bitmaps(docs: DataFrame, least: int = 40, in_docs: int = 5, hot: int | None
     many = many.groupBy(*hashes).agg(F.count("*").alias("held"), F.max("doc_id").alias("keeper")).where(F.col("held") >= in_docs)
     others = e.join(F.broadcast(many), hashes).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "sign", "pos")
     out = gone.unionByName(others).groupBy("doc_id", "sign").agg(F.collect_set("pos").alias("gone"))
-    out = written(out.select("doc_id", "sign", _bound(F.array_sort("gone"), _flips).alias("flips")), "bitmaps")
+    out = written(out.select("doc_id", "sign", bound(F.array_sort("gone"), _flips).alias("flips")), "bitmaps")
     dropped(docs.sparkSession, e)
     return out
 
@@ -98,7 +93,7 @@ def kept(docs: DataFrame, maps: DataFrame) -> DataFrame:
         return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(flips) / 2).cast("int")), piece))
 
     lines = _lines(F.col("text"))
-    text = F.when(flips.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_bound(lines, staying), "\n"))
+    text = F.when(flips.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(bound(lines, staying), "\n"))
     gone = F.aggregate(flips, F.lit(0), lambda n, x: x - n)  # ends less starts, as there are as many of both
     own = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     return d.select(*own, F.size(lines).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"))

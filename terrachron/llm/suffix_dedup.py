@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import mixed
-from ._util import bounded, dropped, semi, sized, sliced, table, written
+from ._util import bounded, dropped, semi, sized, sliced, table
+from ._util import written as _written
 
 _CHUNK = 1 << 18
 _POS = np.uint64((1 << 22) - 1)
@@ -131,17 +132,22 @@ class SuffixIndex:
         for _, t in self.levels:
             new = new.unionByName(t.select("g", F.lit(0).alias("new")))
         met = new.groupBy("g").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("g", "n")
-        self.hits.append(written(met, "hits"))
+        self.hits.append(_written(met, "hits"))
         self.levels.append((1, batch))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels[-2:]
             order = ["g", "ctx", "dk", "s"]  # ranges of all four, so that a common prefix doesn't lie in one task
             both = a.unionByName(b).repartitionByRange(*order).sortWithinPartitions(*order)
-            self.levels[-2:] = [(n + m, written(both, "level"))]
+            self.levels[-2:] = [(n + m, _written(both, "level"))]
             for old in (a, b):
                 dropped(old.sparkSession, old)
         return self.hits[-1]
 
+    def drop(self) -> None:
+        """Delete the tables."""
+        for t in [*(t for _, t in self.levels), *self.hits]:
+            dropped(t.sparkSession, t)
+
     def repeated(self) -> DataFrame:
         """Suffixes whose prefix was met twice, in any scan."""
         every, hits = self.levels[0][1], self.hits[0]
@@ -149,7 +155,8 @@ class SuffixIndex:
             every = every.unionByName(t)
         for t in self.hits[1:]:
             hits = hits.unionByName(t)
-        return semi(every, written(hits.groupBy("g").agg(F.max("n").alias("n")), "hits"), ["g"])
+        self.hits.append(_written(hits.groupBy("g").agg(F.max("n").alias("n")), "hits"))
+        return semi(every, self.hits[-1], ["g"])
 
 
 def _contexts(window: int):
@@ -270,8 +277,13 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 def repeats(docs: DataFrame, window: int = 400, gram: int = 200, batches: int = 3, wide: int = 2_000, block: int = 16) -> DataFrame:
     """dk (hash of doc_id and text) and its spans [b, e) of bytes to remove, for documents that have any."""
-    spark, block = docs.sparkSession, min(block, window)
+    spark, block, made = docs.sparkSession, min(block, window), []
     bounded(spark)
+
+    def written(df, name, by=None):  # tables that go when the spans are there
+        made.append(t := _written(df, name, by))
+        return t
+
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("dk"), "text")
     s = keyed.mapInPandas(_suffixes(window, gram), _SUFFIX).withColumn("batch", F.pmod("dk", F.lit(batches)).cast("int"))
     index = SuffixIndex()
@@ -303,7 +315,11 @@ def repeats(docs: DataFrame, window: int = 400, gram: int = 200, batches: int =
     met = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 and least = 1").select("h", "n")
     many = semi(every, written(met, "met"), ["h"]).where("c = 1").select("dk", "b", (F.col("b") + window).alias("e"))
     spans = whole.unionByName(one).unionByName(many).groupBy("dk").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
-    return written(spans, "spans")
+    out = _written(spans, "spans")
+    index.drop()
+    for t in made:
+        dropped(spark, spark.read.schema(_SUFFIX).option("recursiveFileLookup", "true").parquet(t) if isinstance(t, str) else t)
+    return out
 
 
 def _there(spark, path) -> bool:
@@ -311,19 +327,22 @@ def _there(spark, path) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _cut(docs: DataFrame, as_text: bool, **options) -> tuple[DataFrame, list[str]]:
-    """docs with columns named c0, c1 and so on (also given), so that none clashes, and kept, spans, n_bytes. Only texts that lose
-    something go to Python."""
-    spans = repeats(docs.select("doc_id", "text"), **options).select(F.col("dk").alias("_dk"), F.col("spans").alias("_spans"))
-    own = [f"c{i}" for i in range(len(docs.columns))]
-    key = F.xxhash64("doc_id", "text").alias("_dk")
-    d = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), F.col("text").cast("string").alias("_text"), key)
-    span = "array<struct<b: int, e: int>>"
+_SPAN = "array<struct<b: int, e: int>>"
+
+
+def _joined(column):
+    """Spans that overlap or touch as one, in order."""
 
-    @F.pandas_udf(span)
+    @F.pandas_udf(_SPAN)
     def merged(column: pd.Series) -> pd.Series:
         return pd.Series([[] if x is None else [{"b": b, "e": e} for b, e in _merged(x)] for x in column])
 
+    return merged(column)
+
+
+def _remaining(text, spans, as_text: bool):
+    """What is left of the texts whose spans are not null; the others are for the caller, so that their texts stay in the JVM."""
+
     @F.pandas_udf("string" if as_text else "binary")
     def remaining(texts: pd.Series, column: pd.Series) -> pd.Series:
         out = []
@@ -339,11 +358,21 @@ def _cut(docs: DataFrame, as_text: bool, **options) -> tuple[DataFrame, list[str
             out.append(left.decode("utf-8", "ignore") if as_text else left)
         return pd.Series(out, dtype=object)
 
-    text = F.coalesce("_text", F.lit(""))
+    every = F.coalesce(text, F.lit(""))
+    return F.coalesce(remaining(F.when(spans.isNotNull(), text), spans), every if as_text else F.encode(every, "UTF-8"))
+
+
+def _cut(docs: DataFrame, as_text: bool, **options) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0, c1 and so on (also given), so that none clashes, and kept, spans, n_bytes. Only texts that lose
+    something go to Python."""
+    spans = repeats(docs.select("doc_id", "text"), **options).select(F.col("dk").alias("_dk"), F.col("spans").alias("_spans"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    key = F.xxhash64("doc_id", "text").alias("_dk")
+    d = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), F.col("text").cast("string").alias("_text"), key)
     both = sized(d, spans, "_dk", how="left")
-    cut = remaining(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans"))  # both functions see one step of Python
-    kept = F.coalesce(cut, text if as_text else F.encode(text, "UTF-8"))
-    return both.select(*own, kept.alias("kept"), merged("_spans").alias("spans"), F.octet_length(text).cast("long").alias("n_bytes")), own
+    kept = _remaining(F.col("_text"), F.col("_spans"), as_text)  # both functions see one step of Python
+    n_bytes = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
+    return both.select(*own, kept.alias("kept"), _joined(F.col("_spans")).alias("spans"), n_bytes.alias("n_bytes")), own
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:
@@ -363,8 +392,32 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     return d.select(*(new.get(c, F.col(o)).alias(c) for c, o in zip(docs.columns, own)))
 
 
+def two_lengths(docs: DataFrame, window: int = 400, short: int = 200, gram: int = 200, short_gram: int = 100, **options) -> DataFrame:
+    """doc_id, text, spans and spans_short of every document: what repeats at either length.
+
+    Strings of `window` bytes that are met twice lie in documents of which as many bytes in a row repeat at the shorter
+    length, so that only those are searched for them."""
+    key = F.xxhash64("doc_id", "text").alias("dk")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), key)
+    few = repeats(docs.select("doc_id", "text"), window=short, gram=short_gram, **options)
+    few = _written(few.select("dk", _joined(F.col("spans")).alias("spans_short")), "spans")
+    far = few.where(F.exists("spans_short", lambda x: x["e"] - x["b"] >= window)).select("dk")
+    some = _written(sized(docs, _written(far, "far"), "dk", how="left_semi").select("doc_id", "text"), "some")
+    long = repeats(some, window=window, gram=gram, **options)
+    dropped(docs.sparkSession, some)
+    return sized(docs, _written(few.join(long, "dk", "left"), "spans"), "dk", how="left").drop("dk")
+
+
+def _bytes(spans):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["b"]))
+
+
 def op1_suffix_dedup(spark, sf_dir):
-    d = dedup(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["b"]))
-    rest = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # what remains, U+FFFD where a cut parts a character
-    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), rest)
+    """The contract's columns are those of 400 bytes; n_repeated_200 and text say what a cut at 200 bytes removes and leaves."""
+    d = two_lengths(table(spark, sf_dir, "documents"))
+    text, spans, short = F.col("text"), F.col("spans"), F.col("spans_short")
+    d = d.select(
+        "doc_id", F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), _joined(spans).alias("spans"), F.sha2(_remaining(text, spans, False), 256).alias("kept_sha256"),
+        F.coalesce(_bytes(short), F.lit(0)).alias("n_repeated_200"), _remaining(text, short, True).alias("text"),
+    )
+    return d.select("doc_id", "n_bytes", _bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_repeated_200", "text")

@@ -63,6 +63,26 @@ def test_suffix_dedup(spark, texts, wide):
     assert sorted(map(tuple, got)) == brute_repeats(texts, 24)
 
 
+@pytest.mark.parametrize("long,short", [(24, 12), (40, 20)])
+def test_suffix_dedup_at_two_lengths(spark, texts, long, short):
+    d = suffix_dedup.two_lengths(docs_of(spark, texts).repartition(3), long, short, gram=10, short_gram=6, batches=3)
+    for column, window in (("spans", long), ("spans_short", short)):
+        removed = suffix_dedup._bytes(suffix_dedup._joined(F.col(column)))
+        kept = F.sha2(suffix_dedup._remaining(F.col("text"), F.col(column), False), 256)
+        got = d.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))), removed, F.size(suffix_dedup._joined(F.col(column))), kept).collect()
+        assert sorted(map(tuple, got)) == brute_repeats(texts, window)
+
+
+def test_suffix_dedup_leaves_no_tables_but_its_spans(spark, texts, tmp_path, monkeypatch):
+    import os
+
+    from terrachron.llm import _util
+
+    monkeypatch.setattr(_util, "shared_dir", lambda spark: str(tmp_path))
+    suffix_dedup.repeats(docs_of(spark, texts).select("doc_id", "text"), window=24, gram=10)
+    assert {x.split("-")[0] for x in os.listdir(tmp_path) if any(f.endswith(".parquet") for _, _, fs in os.walk(f"{tmp_path}/{x}") for f in fs)} == {"spans"}
+
+
 def test_index_levels_grow_by_doubling(spark):
     index, rows = suffix_dedup.SuffixIndex(), "g long, ctx long, dk long, s int, o short, r short"
     from terrachron.llm._util import written

@@ -11,8 +11,10 @@ it finds is verified in double precision. A pair that meets in several shards co
 the share of links found against brute force; below `recall` everything is done again with twice as many shards for each class.
 
 Defined results: null labels, and vectors that are null, zero, hold null or non-finite components or differ in length from most,
-link with nothing; labels are of any type that can be compared; vectors are scaled before their length is taken, so that none is too large or small; repeated rows are others to each other only where their vec_id differs or both rows are listed; an
-empty table gives no rows; further columns are ignored.
+link with nothing; labels are of any type that can be compared; vectors are scaled before their length is taken, so that none is too
+large or small; rows that repeat a vec_id and its vector are one vector, listed as often as given; a vec_id with several vectors counts once
+in each group of equal vectors, and has the most links that one of its vectors has and the smallest component; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +147,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_
     label = rows.schema["label"].dataType.simpleString()
     v = usable(rows.where("label is not null").select("vec_id", "embedding", "label")).withColumn("ck", F.xxhash64("label", "v"))
     of = written(v.select("vec_id", "ck", "label", "v"), "vectors")
-    classes = written(of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
+    ids = written(of.select("ck", "vec_id").distinct().groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")), "ids")
+    classes = written(of.groupBy("ck").agg(F.first("label").alias("label"), F.first("v").alias("v")).join(ids, "ck"), "classes")
     n = classes.count()
     every = max(1, min(n // 64, per_centre)) if n <= per_centre * most_centres else n // most_centres
     pick = lambda seed, many: classes.orderBy(F.xxhash64("ck", F.lit(seed)), "cid").limit(many).select("v").toPandas()
@@ -157,7 +160,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, overlap: int = 3, per_
         met = _links(classes, label, centres, least, overlap, block)
         links = met.groupBy("cid").agg(F.sum("links").alias("links"))
         comp = components(met.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
-        per = of.groupBy("ck").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")).join(links, "cid", "left").join(comp, "cid", "left")
+        per = ids.join(links, "cid", "left").join(comp, "cid", "left")
         per = per.select("ck", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
         linked = of.select("vec_id", "ck").join(per, "ck").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
         out = rows.select("vec_id").join(linked, "vec_id", "left")
@@ -308,7 +311,7 @@ WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS d, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.d),
-n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+n AS (SELECT x, count(DISTINCT y) AS n FROM l GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, vec_id = m.c AS kept
 FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = vec_id
 """

@@ -1,5 +1,6 @@
 """Operators on pages and embeddings against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -157,6 +158,24 @@ def test_embed_dedup_sizes_and_labels(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 0, True), (2, 0, False), (2, 0, False), (0, 3, True), (0, 4, True), (0, 5, True)]
 
 
+def test_embed_dedup_counts_vectors_not_rows(spark, tmp_path):
+    """Repeated rows, and links that the SQL twin finds too."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((6, 8))
+    rows = [(i, (base[i % 6] + 0.05 * r.standard_normal(8)).tolist(), i % 2) for i in range(60)]
+    rows += [(100, base[0].tolist(), 7), (100, base[0].tolist(), 7), (101, base[1].tolist(), 7), *[(102 + i, base[0].tolist(), 7) for i in (0, 0, 1)], rows[3], rows[3]]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    d.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, embed_dedup.op2_embed_dedup(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({embed_dedup.SQL})").fetchall())
+    assert [x[:4] for x in got] == want and sum(x[1] for x in want) > 100
+    assert {x[0]: x[1] for x in got}[100] == 2 and {x[0]: x[1] for x in got}[101] == 0
+    few = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(x.n_links for x in embed_dedup.near_duplicates(few).collect()) == [0, 0, 0]
+
+
 def test_embed_dedup_planted_pairs(spark):
     """Pairs at just over the threshold and nothing else near, with hundreds of centres."""
     r = np.random.default_rng(8)

@@ -1,9 +1,11 @@
 """Temporal joins over version histories.
 
-A history is an array of structs sorted by version: version, changeset, visible, ts and cm (microseconds; cm null where
-the commit time is unknown), lat, lon, reverse. Which version a parent saw is decided by a fold over the array: child
-versions with known commit times by the last one committed, the others by nearness to the parent's time within a threshold.
-Everything is built-in expressions; histories are joined once, by child.
+A history is read in order of versions, up to the first one that lies ahead of the parent: child versions with known commit times count
+by the last one committed, the others by nearness to the parent's time within a threshold. Which versions were reached, which of them
+lie before the threshold's range, and which came into effect before the next parent are as-of lookups, answered by one merge
+of all versions and parents in order of time (`asof`); only where versions without commit times lie in a parent's range are these few
+looked at together. The versions between two parents are found by their number. Everything is built-in expressions, and no row holds a
+history.
 """
 
 from __future__ import annotations
@@ -14,22 +16,24 @@ from pyspark.sql.window import Window
 
 from ..functions.times import effective_us
 from ..schema import COMMIT_TIMES_FROM_US as FROM
+from ..schema import UPDATES
+from ..tables import written
+from . import asof
 
 THRESHOLD_US = 30 * 60 * 1_000_000
 
 
-class HistoryError(Exception):
-    """A child without history, or without a visible version, where it is needed."""
+_V = ("version", "changeset", "visible", "ts", "cm", "lat", "lon", "reverse")
 
 
-def histories(children: DataFrame, key=("id",), reverse: Column | None = None) -> DataFrame:
-    """key..., hist: one sorted array per child."""
+def versions(children: DataFrame, key=("id",), reverse: Column | None = None) -> DataFrame:
+    """key..., v: a struct for each version of a child."""
     item = F.struct(
         F.coalesce("version", F.lit(0)).alias("version"), F.coalesce("changeset", F.lit(0)).cast("bigint").alias("changeset"), F.coalesce("visible", F.lit(False)).alias("visible"),
         F.unix_micros("timestamp").alias("ts"), F.unix_micros("committed").alias("cm"), _or_null(children, "lat").alias("lat"), _or_null(children, "lon").alias("lon"),
         (F.lit(False) if reverse is None else F.coalesce(reverse, F.lit(False))).alias("reverse"),
     )
-    return children.select(*key, item.alias("h")).groupBy(*key).agg(F.array_sort(F.collect_list("h")).alias("hist"))
+    return children.select(*key, item.alias("v"))
 
 
 def _or_null(df: DataFrame, name: str) -> Column:
@@ -67,46 +71,114 @@ def version_before(hist: str, end: str) -> Column:
         ELSE named_struct('n', s.i, 'stop', false, 'i', s.i + 1) END, s -> s.n)""")
 
 
-def seen_versions(parents: DataFrame, refs: str, child_history: DataFrame, child_key=("ref",), threshold_us: int = THRESHOLD_US, ignore_inconsistency=False, ignore_missing=False, child_filter: Column | None = None) -> DataFrame:
-    """One row per parent version (id, seq) and child place: idx, the child's columns, c (version seen, or null) and updates
-    (the versions between it and what the next parent version saw).
+def _raised(bad: Column, text: Column) -> Column:
+    """A condition that is true, or an error where bad is."""
+    return F.when(bad, F.raise_error(text).cast("boolean")).otherwise(True)
+
+
+def _effective(v: Column) -> Column:
+    return F.when(v["cm"] >= FROM, v["cm"]).otherwise(v["ts"])
+
+
+def _history(child_versions: DataFrame, keys: list[str], threshold_us: int, most: int) -> DataFrame:
+    """keys, n, v and from when on a version is reached, past the range, and in effect."""
+    early = F.col("v.cm").isNull() | (F.col("v.cm") < FROM)
+    reach = {
+        "reached": F.when(early, F.col("v.ts") - threshold_us).otherwise(F.col("v.cm")),
+        "past": F.when(early, F.col("v.ts") + threshold_us),
+        "effect": _effective(F.col("v")),
+    }
+    h = child_versions.where(F.col(keys[-1]).isNotNull()).select(*keys, F.col("v.version").alias("_o"), "v")
+    return written(asof.numbered(h, keys, ["_o", "v"], reach, most).drop("_o"), "history")
+
+
+def _events(h: DataFrame, keys: list[str]) -> DataFrame:
+    """What happens in the order of time: versions are reached (at their time, so before questions), get past the range or come
+    into effect (behind questions). Each key begins with a sign that it has a history."""
+    state = "struct<n: bigint, v: struct<version: int, changeset: bigint, visible: boolean, ts: bigint, cm: bigint, lat: double, lon: double, reverse: boolean>>"
+    v = F.struct("n", F.col("v").cast(state.split("v: ", 1)[1][:-1]).alias("v"))
+    none, no = F.lit(None).cast(state), F.lit(None).cast("bigint")
+    one = lambda t, o, seen=none, past=no, effect=no, there=no: F.struct(t.alias("t"), F.lit(o).alias("o"), seen.alias("seen"), past.alias("past"), effect.alias("effect"), there.alias("there"))
+    n = F.col("n")
+    every = F.array(
+        one(F.col("reached"), -1, seen=v), one(F.coalesce("past", F.lit(asof.FIRST)), 1, past=n), one(F.col("effect"), 1, effect=n),
+        one(F.when(n == 0, asof.FIRST - 1), -1, there=n),
+    )
+    return h.select(*keys, "n", F.explode(every).alias("e")).select(*keys, "n", "e.*").where("t IS NOT NULL")
+
+
+def _near(d: DataFrame, h: DataFrame, keys: list[str], threshold_us: int) -> DataFrame:
+    """id, seq, idx, which, seen: the version that each parent saw (n null: none), where versions in its range have to be looked at
+    together, from the last one before the range to the last one reached."""
+    ask = F.array(*(F.struct(F.lit(i).alias("which"), F.col(f"_past{i}").alias("past"), F.col(f"_last{i}").alias("last"), F.col(a).alias("at"), F.col(c).alias("cs")) for i, (a, c) in enumerate((("_at", "_cs"), ("_nat", "_ncs")))))
+    q = d.select("id", "seq", "idx", *keys, F.explode(ask).alias("q")).select("id", "seq", "idx", *keys, "q.*").where(F.col("last") > F.coalesce("past", F.lit(-1)))
+    q = q.withColumn("n", F.explode(F.sequence(F.greatest(F.coalesce("past", F.lit(0)), F.lit(0)), "last")))
+    q = q.join(h.select(*keys, "n", "v"), [*keys, "n"]).groupBy("id", "seq", "idx", "which", "at", "cs").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("few"))
+    q = q.withColumn("hist", F.transform("few", lambda x: x["v"])).withColumn("i", find_visible("hist", "cs", "at", threshold_us))
+    return q.select("id", "seq", "idx", "which", F.when(F.col("i") >= 0, F.get("few", F.col("i"))).alias("found"))
+
+
+def seen_versions(parents: DataFrame, refs: str, child_versions: DataFrame, child_key=("ref",), threshold_us: int = THRESHOLD_US, ignore_inconsistency=False, ignore_missing=False, child_filter: Column | None = None, most: int = asof.MOST) -> DataFrame:
+    """One row per parent version (id, seq): c, a map from child place to the version seen (or null) and updates (the versions between
+    it and what the next parent version saw).
 
     parents: id, seq (order of versions), changeset, visible, timestamp, committed, and the array refs of structs. The
-    next parent counts even if it is invisible or no longer has the child. child_filter: condition on the child's columns;
-    what it refuses is left as it is, unless it has no version yet."""
+    next parent counts even if it is invisible or no longer has the child. child_versions: the child's key and v, as of
+    versions(). child_filter: condition on the child's columns; what it refuses is left as it is, unless it has no version yet.
+    most: rows of one child from which on it is cut into stretches."""
     w = Window.partitionBy("id").orderBy("seq")
     p = parents.withColumn("_at", effective_us("committed", "timestamp")).withColumn("_cs", F.coalesce("changeset", F.lit(0)).cast("bigint"))
     nxt = F.struct(F.col("_at").alias("at"), effective_us("committed", "timestamp", -threshold_us).alias("soon"), F.col("_cs").alias("cs"))
     p = p.withColumn("_next", F.lead(nxt).over(w)).where("visible")
+    keys = [f"_k{i}" for i in range(len(child_key))]
     r = p.select("id", "seq", "_at", "_cs", "_next", F.posexplode(refs).alias("idx", "_r")).select("id", "seq", "_at", "_cs", "_next", "idx", "_r.*")
     if child_filter is not None:
         r = r.where(child_filter | (F.coalesce("version", F.lit(0)) == 0))
-    h = child_history.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(child_history.columns[:-1])), F.col(child_history.columns[-1]).alias("hist"))
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(child_key)]
-    j = r.join(h, on, "left").drop(*(f"_k{i}" for i in range(len(on))))
-    if ignore_missing:
-        j = j.where("hist IS NOT NULL")
-    else:
-        j = j.where(F.when(F.col("hist").isNull(), F.raise_error(F.concat(F.lit("no history of child "), F.col(child_key[-1]).cast("string"))).cast("boolean")).otherwise(True))
-    j = j.withColumn("_c", find_visible("hist", "_cs", "_at", threshold_us)).withColumn("_n", find_visible("hist", "_next.cs", "_next.at", threshold_us))
-    at = lambda i: F.get("hist", F.col(i))
-    eff = lambda x: F.when(x["cm"] >= FROM, x["cm"]).otherwise(x["ts"])
-    seen_next = F.when(eff(at("_n")) < F.col("_next.soon"), F.col("_n") + 1).otherwise(F.col("_n"))
-    none_next = F.when((F.col("_c") >= 0) & (F.col("_next.soon") <= eff(at("_c"))), 0).otherwise(version_before("hist", "_next.soon") + 1)
-    end = F.when(F.col("_next").isNull(), F.size("hist")).when(F.col("_n") >= 0, seen_next).otherwise(none_next)
-    start = F.when(F.col("_c") >= 0, F.col("_c") + 1).otherwise(version_before("hist", "_at") + 1)
-    j = j.withColumn("_start", start).withColumn("_end", end)
-    between = F.slice("hist", F.col("_start") + 1, F.greatest(F.lit(0), F.col("_end") - F.col("_start")))
-    j = j.withColumn("_between", between)
+    r = r.select("id", "seq", "idx", *(F.col(c).alias(k) for c, k in zip(child_key, keys)), "_at", "_cs", "_next.at", "_next.soon", "_next.cs")
+    h = _history(child_versions.select(*(F.col(c).alias(k) for c, k in zip(child_versions.columns, keys)), "v"), keys, threshold_us, most)
+    when = F.array(*(F.struct(F.lit(i).alias("which"), F.col(t).alias("t")) for i, t in enumerate(("_at", "at"))), F.struct(F.lit(2).alias("which"), F.coalesce("soon", F.lit(asof.LAST)).alias("t")))
+    asked = ["id", "seq", "idx", "_at", "_cs", "at", "soon", "cs"]
+    q = r.select(*keys, *asked, F.explode(when).alias("w")).select(*keys, *asked, "w.*").where("t IS NOT NULL")
+    got = asof.answered(_events(h, keys), q, keys, ["seen", "past", "effect", "there"], most, r)
+    # the answers to one row come together where its child is; the table is read three times
+    of = lambda c, i, name: F.max(F.when(F.col("which") == i, F.col(c))).alias(name)
+    d = got.select("*", "seen.n", "seen.v.*", _effective(F.col("seen.v")).alias("_e")).groupBy(*keys, "id", "seq", "idx", "_at", "_cs", F.col("at").alias("_nat"), F.col("soon").alias("_soon"), F.col("cs").alias("_ncs")).agg(
+        of("n", 0, "_last0"), *(of(x, 0, x) for x in _V), of("n", 1, "_last1"), of("visible", 1, "_visible1"), of("_e", 1, "_e1"), of("past", 0, "_past0"), of("past", 1, "_past1"),
+        of("effect", 0, "_effect0"), of("effect", 2, "_effect2"), F.max("there").alias("_there"),
+    )
+    d = written(d, "seen")
+    child = F.col(keys[-1]).cast("string")
+    d = d.where("_there IS NOT NULL") if ignore_missing else d.where(_raised(F.col("_there").isNull(), F.concat(F.lit("no history of child "), child)))
+    c = F.struct(F.col("_last0").alias("n"), F.struct(*_V).alias("v"), _effective(F.struct("ts", "cm")).alias("e"))
+    n = F.struct(F.col("_last1").alias("n"), F.col("_e1").alias("e"))
+    d = d.withColumn("_c", F.when(F.col("visible"), c)).withColumn("_n", F.when(F.col("_visible1"), n))  # the last version reached, if visible
+    few = d.where("_last0 > coalesce(_past0, -1) OR _last1 > coalesce(_past1, -1)")
+    if few.limit(1).count():  # unless versions in the range say otherwise
+        near = _near(few, h, keys, threshold_us).groupBy("id", "seq", "idx").agg(*(F.max(F.when(F.col("which") == i, F.struct(F.lit(True).alias("is"), "found"))).alias(f"_near{i}") for i in (0, 1)))
+        d = d.join(near, ["id", "seq", "idx"], "left")
+        for i, (name, made) in enumerate((("_c", ("n", "v", "e")), ("_n", ("n", "e")))):
+            f = F.col(f"_near{i}.found")
+            found = {"n": f["n"], "v": f["v"], "e": _effective(f["v"])}
+            d = d.withColumn(name, F.when(F.col(f"_near{i}.is"), F.when(f.isNotNull(), F.struct(*(found[x].alias(x) for x in made)))).otherwise(F.col(name)))
+    c, n = F.col("_c"), F.col("_n")
+    seen_next = F.when(n["e"] < F.col("_soon"), n["n"] + 1).otherwise(n["n"])
+    behind = lambda x: F.coalesce(x + 1, F.lit(0))
+    none_next = F.when(c.isNotNull() & (F.col("_soon") <= c["e"]), 0).otherwise(behind(F.col("_effect2")))
+    end = F.when(F.col("_soon").isNull(), behind(F.col("_effect2"))).when(n.isNotNull(), seen_next).otherwise(none_next)
+    start = F.when(c.isNotNull(), c["n"] + 1).otherwise(behind(F.col("_effect0")))
+    d = d.withColumn("_start", start).withColumn("_end", end)
+    text = F.concat(F.lit("no visible version of child "), child)
     if not ignore_inconsistency:
-        bad = (F.col("_c") < 0) | F.exists("_between", lambda x: ~x["visible"])
-        j = j.where(F.when(bad, F.raise_error(F.concat(F.lit("no visible version of child "), F.col(child_key[-1]).cast("string"))).cast("boolean")).otherwise(True))
-    time = lambda x: F.timestamp_micros(F.when((x["ts"] < FROM) | x["cm"].isNull(), x["ts"]).otherwise(x["cm"]))
-    up = F.transform(
-        F.filter("_between", lambda x: x["visible"]),
-        lambda x: F.struct(F.col("idx").alias("index"), x["version"].alias("version"), time(x).alias("timestamp"), x["changeset"].alias("changeset"), x["lat"].alias("lat"), x["lon"].alias("lon"), x["reverse"].alias("reverse")),
-    )
-    return j.withColumn("c", F.when(F.col("_c") >= 0, at("_c"))).withColumn("updates", up).drop("_at", "_cs", "_next", "_c", "_n", "_start", "_end", "_between", "hist")
+        d = d.where(_raised(c.isNull(), text))
+    u = d.where("_end > _start").select("id", "seq", "idx", *keys, F.explode(F.sequence("_start", F.col("_end") - 1)).alias("n"))
+    u = u.join(h.select(*keys, "n", "v"), [*keys, "n"])
+    u = u.where("v.visible") if ignore_inconsistency else u.where(_raised(~F.col("v.visible"), text))
+    v = F.col("v")
+    time = F.timestamp_micros(F.when((v["ts"] < FROM) | v["cm"].isNull(), v["ts"]).otherwise(v["cm"]))
+    update = F.struct(F.col("idx").alias("index"), v["version"].alias("version"), time.alias("timestamp"), v["changeset"].alias("changeset"), v["lat"].alias("lat"), v["lon"].alias("lon"), v["reverse"].alias("reverse"))
+    u = u.groupBy("id", "seq").agg(F.collect_list(update).alias("updates"))
+    d = d.groupBy("id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("_c.v").alias("c")))).alias("c"))
+    return d.join(u, ["id", "seq"], "left").withColumn("updates", F.coalesce("updates", F.array().cast(UPDATES)))
 
 
 def sorted_updates(updates):
@@ -122,8 +194,7 @@ def _parents(p: DataFrame) -> DataFrame:
 def annotate_ways(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     """Ways whose nodes carry the version, changeset and place that each version saw, and updates until the next version."""
     ways = _parents(ways)
-    got = seen_versions(ways, "nodes", histories(nodes), ("ref",), **options)
-    got = got.groupBy("id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", "c"))).alias("_c"), F.flatten(F.collect_list("updates")).alias("_u"))
+    got = seen_versions(ways, "nodes", versions(nodes), ("ref",), **options).withColumnsRenamed({"c": "_c", "updates": "_u"})
 
     def one(n, i):
         c = F.try_element_at(F.col("_c"), i)
@@ -135,8 +206,8 @@ def annotate_ways(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     return d.withColumn("nodes", nodes_).withColumn("updates", F.when(F.col("_u").isNull(), F.col("updates") if "updates" in ways.columns else F.lit(None)).otherwise(sorted_updates(F.col("_u")))).drop("_c", "_u")
 
 
-def relation_histories(nodes=None, ways=None, relations=None) -> DataFrame:
-    """type, ref, hist of all that relations can have; a way version is reversed if it turned round since the one before."""
+def relation_versions(nodes=None, ways=None, relations=None) -> DataFrame:
+    """type, ref, v of all versions that relations can have; a way version is reversed if it turned round since the one before."""
     from ..functions.geo import is_reverse, line
 
     out = None
@@ -150,7 +221,7 @@ def relation_histories(nodes=None, ways=None, relations=None) -> DataFrame:
             t = t.withColumn("_refs", refs).withColumn("_line", line("nodes"))
             t = t.withColumn("_rev", is_reverse(F.lag("_refs").over(w), F.col("_refs"), F.lag("_line").over(w), F.col("_line")))
             rev = F.col("_rev")
-        h = histories(t, ("id",), rev).select(F.lit(kind).alias("type"), F.col("id").alias("ref"), "hist")
+        h = versions(t, ("id",), rev).select(F.lit(kind).alias("type"), F.col("id").alias("ref"), "v")
         out = h if out is None else out.unionByName(h)
     return out
 
@@ -160,8 +231,7 @@ def annotate_relations(relations: DataFrame, nodes=None, ways=None, members_of=N
     from .rings import member_orientations
 
     relations = _parents(relations)
-    got = seen_versions(relations, "members", relation_histories(nodes, ways, members_of), ("type", "ref"), **options)
-    got = got.groupBy("id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", "c"))).alias("_c"), F.flatten(F.collect_list("updates")).alias("_u"))
+    got = seen_versions(relations, "members", relation_versions(nodes, ways, members_of), ("type", "ref"), **options).withColumnsRenamed({"c": "_c", "updates": "_u"})
 
     def one(m, i):
         c = F.try_element_at(F.col("_c"), i)

@@ -93,6 +93,100 @@ def test_versions_and_updates(spark, committed):
     assert [(u["index"], u.version) for u in b.updates] == [(1, 4)]
 
 
+def before(hist, end):
+    n = -1
+    for i, c in enumerate(hist):
+        if not effective(c) < end:
+            break
+        n = i
+    return n
+
+
+def effective(c):
+    return c["cm"] if c["cm"] is not None and c["cm"] >= history.FROM else c["ts"]
+
+
+def computed(parents, hist, eps):
+    """Of one child in every version of one parent: version seen, and versions until the next; read straight from the rules."""
+    out = {}
+    for k, p in enumerate(parents):
+        if not p["visible"] or not p["has"]:
+            continue
+        at = effective(p)
+        c = visible(hist, p["changeset"], at, eps)
+        if k + 1 == len(parents):
+            end = len(hist)
+        else:
+            q = parents[k + 1]
+            soon = effective(q) if q["cm"] is not None and q["cm"] >= history.FROM else q["ts"] - eps  # only timestamps have a threshold
+            n = visible(hist, q["changeset"], effective(q), eps)
+            if n >= 0:
+                end = n + 1 if effective(hist[n]) < soon else n
+            elif c >= 0 and soon <= effective(hist[c]):
+                end = 0
+            else:
+                end = before(hist, soon) + 1
+        start = c + 1 if c >= 0 else before(hist, at) + 1
+        out[k] = (hist[c]["version"] if c >= 0 else None, [hist[i]["version"] for i in range(start, end) if hist[i]["visible"]])
+    return out
+
+
+def random_map(r, n_nodes, n_ways, most_versions, regime):
+    """Children and parents with times about the start of commit times, close together, many equal and some falling."""
+    def moment(v):
+        ts = history.FROM + (r.randrange(-6, 7) if r.random() < 0.5 else 2 * v - 6) * EPS // 2
+        cm = {"none": None, "all": abs(ts) + history.FROM, "some": ts + r.randrange(3) if r.random() < 0.5 else None}[regime]
+        return ts if regime != "all" else cm, cm
+
+    nodes, ways = {}, {}
+    for i in range(n_nodes):
+        nodes[i] = [dict(zip(("ts", "cm"), moment(v)), version=v, changeset=r.randrange(3), visible=r.random() < 0.75) for v in range(1, r.randrange(2, most_versions))]
+    for i in range(n_ways):
+        ways[i] = [dict(zip(("ts", "cm"), moment(v)), version=v, changeset=r.randrange(3), visible=r.random() < 0.85, refs=[r.randrange(n_nodes + 1) for _ in range(r.randrange(1, 5))]) for v in range(1, r.randrange(2, 6))]
+    return nodes, ways
+
+
+@pytest.mark.parametrize("most", [200_000, 6])
+@pytest.mark.parametrize("regime", ["none", "all", "some"])
+def test_annotation_against_the_rules(spark, regime, most):
+    """Whole annotations, with children in one stretch and cut into several."""
+    r = random.Random(17)
+    nodes, ways = random_map(r, 25, 120, 14, regime)
+    stamp = lambda us: None if us is None else datetime(1970, 1, 1) + timedelta(microseconds=us)
+    n = spark.createDataFrame([(i, c["version"], c["visible"], c["changeset"], stamp(c["ts"]), stamp(c["cm"]), float(c["version"]), float(i)) for i, h in nodes.items() for c in h], NODE)
+    w = spark.createDataFrame([(i, c["version"], c["visible"], c["changeset"], stamp(c["ts"]), stamp(c["cm"]), nd(*c["refs"])) for i, h in ways.items() for c in h], WAY)
+    d = history.annotate_ways(w.withColumn("seq", F.col("version")), n, ignore_inconsistency=True, ignore_missing=True, most=most)
+    got = {(x.id, x.version): x for x in d.collect()}
+    found = 0
+    for i, h in ways.items():
+        per = {ref: computed([{**p, "has": ref in p["refs"]} for p in h], nodes[ref], EPS) for ref in {x for p in h for x in p["refs"]} if nodes.get(ref)}
+        for k, p in enumerate(h):
+            x = got[i, p["version"]]
+            seen = [per[ref][k][0] if p["visible"] and ref in per else None for ref in p["refs"]]
+            assert [y.version for y in x.nodes] == seen
+            assert [y.lat for y in x.nodes] == [None if v is None else float(v) for v in seen]
+            want = sorted((at_, v) for at_, ref in enumerate(p["refs"]) if p["visible"] and ref in per for v in per[ref][k][1])
+            assert sorted((u["index"], u.version) for u in x.updates or []) == want
+            found += len(want) + sum(v is not None for v in seen)
+    assert found > 300
+
+
+def test_no_row_holds_a_history(spark):
+    """One node with very many versions and many ways, cut into stretches; and no array of versions in the plan."""
+    many = 30_000
+    nodes = spark.range(1, many + 1).select(F.lit(1).cast("long").alias("id"), F.col("id").cast("int").alias("version"), F.lit(True).alias("visible"), F.col("id").alias("changeset"), F.timestamp_seconds(F.col("id") * 7200 + 1_400_000_000).alias("timestamp"), F.timestamp_seconds(F.col("id") * 7200 + 1_400_000_000).alias("committed"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    one = F.array(F.struct(F.lit(1).cast("long").alias("ref"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("bigint").alias("changeset"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")))
+    t = F.timestamp_seconds((F.col("id") % many + 1) * 7200 + 1_400_000_060)
+    ways = spark.range(2 * many).select((F.col("id") % many).alias("id"), F.lit(1).alias("x"), (F.col("id") >= many).cast("int").alias("seq"), F.when(F.col("id") < many, t).otherwise(t + F.expr("INTERVAL 10 HOURS")).alias("timestamp"))
+    ways = ways.select("id", F.col("seq").alias("version"), "seq", (F.col("seq") == 0).alias("visible"), F.lit(0).cast("long").alias("changeset"), "timestamp", F.col("timestamp").alias("committed"), one.alias("nodes"))
+    d = history.annotate_ways(ways, nodes, most=5_000)
+    got = d.where("seq = 0").select("id", F.get("nodes", F.lit(0))["version"].alias("v"), F.size("updates").alias("n"), F.get("updates", F.lit(0))["version"].alias("u"))
+    assert got.where(f"v = id + 1 AND n = least(5, {many} - v) AND (n = 0 OR u = v + 1)").count() == many
+    text = d._jdf.queryExecution().optimizedPlan().toString()
+    collected = [x for x in text.splitlines() if "collect_list" in x and "few" not in x and "updates" not in x and "idx" not in x]
+    assert not collected
+
+
 def test_errors_and_options(spark):
     nodes = [(1, 1, True, 1, at(EARLY, 0), None, 1.0, 1.0), (1, 2, False, 2, at(EARLY, 5), None, 1.0, 1.0)]
     ways = [(7, 1, True, 50, at(EARLY, 8), None, nd(1, 3))]

@@ -412,12 +412,43 @@ def _bytes(spans):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["b"]))
 
 
+def both_cuts(text, spans, short):
+    """spans as one each, the hash of what they leave, and what the shorter ones leave as text: each text goes to Python once, and only
+    the hash comes back of the first cut."""
+
+    @F.pandas_udf(f"spans {_SPAN}, kept_sha256 string, text string")
+    def cut(texts: pd.Series, spans: pd.Series, short: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, spans, short):
+            if text is None:
+                out.append((None, None, None))
+                continue
+            t, far = text.encode("utf-8", "surrogatepass"), _merged(a) if a is not None else []
+            near = b"".join(_left(t, [(int(x["b"]), int(x["e"])) for x in b])) if b is not None else t
+            kept = hashlib.sha256()
+            for part in _left(t, far):
+                kept.update(part)
+            out.append(([{"b": x, "e": y} for x, y in far], kept.hexdigest(), near.decode("utf-8", "replace")))
+        return pd.DataFrame(out, columns=["spans", "kept_sha256", "text"])
+
+    return cut(F.when(spans.isNotNull() | short.isNotNull(), text), spans, short)
+
+
+def _left(t: bytes, cuts: list[tuple[int, int]]):
+    at = 0
+    for b, e in cuts:
+        yield t[at:b]
+        at = e
+    yield t[at:]
+
+
 def op1_suffix_dedup(spark, sf_dir):
     """The contract's columns are those of 400 bytes; n_repeated_200 and text say what a cut at 200 bytes removes and leaves."""
     d = two_lengths(table(spark, sf_dir, "documents"))
-    text, spans, short = F.col("text"), F.col("spans"), F.col("spans_short")
-    d = d.select(
-        "doc_id", F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), _joined(spans).alias("spans"), F.sha2(_remaining(text, spans, False), 256).alias("kept_sha256"),
-        F.coalesce(_bytes(short), F.lit(0)).alias("n_repeated_200"), _remaining(text, short, True).alias("text"),
+    every, short = F.coalesce("text", F.lit("")), F.coalesce(_bytes(F.col("spans_short")), F.lit(0))
+    d = d.select("doc_id", every.alias("own"), short.alias("n_repeated_200"), both_cuts(F.col("text"), F.col("spans"), F.col("spans_short")).alias("cut"))
+    spans = F.coalesce("cut.spans", F.array().cast(_SPAN))
+    return d.select(
+        "doc_id", F.octet_length("own").cast("long").alias("n_bytes"), _bytes(spans).alias("n_removed"), F.size(spans).cast("long").alias("n_spans"),
+        F.coalesce("cut.kept_sha256", F.sha2("own", 256)).alias("kept_sha256"), "n_repeated_200", F.coalesce("cut.text", "own").alias("text"),
     )
-    return d.select("doc_id", "n_bytes", _bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_repeated_200", "text")

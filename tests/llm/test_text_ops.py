@@ -73,6 +73,21 @@ def test_suffix_dedup_at_two_lengths(spark, texts, long, short):
         assert sorted(map(tuple, got)) == brute_repeats(texts, window)
 
 
+def test_suffix_dedup_query(spark, tmp_path):
+    """The registered query at its own lengths, with passages shorter and longer than 400 bytes and cuts inside characters."""
+    r = random.Random(9)
+    word = lambda n: " ".join("".join(r.choice("abcdefghijé") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    long, short = word(120), word(48)
+    rows = [(i, word(r.randrange(1, 90)) + " " + ([long, short, short + " " + long, ""][i % 4]) + " " + word(r.randrange(1, 90))) for i in range(40)]
+    rows += [(40, rows[1][1]), (41, None), (42, ""), (43, "é" * 500), (44, "x"), (1, rows[1][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(rows, 400)
+    cut = brute_repeats(rows, 200)
+    assert sorted((x.doc_id, x.n_repeated_200) for x in got) == sorted((c[0], c[2]) for c in cut)
+    assert sum(x.n_repeated_200 > x.n_removed for x in got) > 5 and all((x.text == (dict(rows)[x.doc_id] or "")) == (x.n_repeated_200 == 0) for x in got)
+
+
 def test_suffix_dedup_leaves_no_tables_but_its_spans(spark, texts, tmp_path, monkeypatch):
     import os
 

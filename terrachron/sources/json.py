@@ -174,3 +174,27 @@ def document(tables: dict[str, DataFrame], version: str | None = None, generator
     head = "".join(f'"{n}":"{v}",' for n, v in (("version", version), ("generator", generator)) if v)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "id", "value"))), lambda x: x["value"]), ",")
     return parts.agg(F.concat(F.lit("{" + head + '"elements":['), body, F.lit("]}")).alias("value"))
+
+
+def write_document(tables: dict[str, DataFrame], path: str, version: str | None = None, generator: str | None = None, mode: str = "errorifexists", compression: str = "none", parts: int | None = None) -> None:
+    """The document that document() makes, in parts that are it one after another, but for line ends between elements."""
+    from .sinks import write_parts
+
+    x = None
+    for k, (kind, df) in enumerate(sorted(tables.items(), key=lambda t: ORDER.index(t[0]))):
+        y = elements(kind, df).select(F.lit(k).alias("k"), "id", "value")
+        x = y if x is None else x.unionByName(y)
+    head = "".join(f'"{n}":"{v}",' for n, v in (("version", version), ("generator", generator)) if v)
+    order = ["k", "id", "value"]
+    first = x.agg(F.min(F.struct(*order)).alias("x")).first().x
+    spark, shape = x.sparkSession, "k int, id long, value string"
+    ends = [(-1, None, "{" + head + '"elements":['), (len(ORDER), None, "]}")]
+    if first is None:
+        return write_parts(spark.createDataFrame(ends, shape), order, path, mode, compression, parts)
+    # a comma stands before each element but one of the first; rows that equal it are told apart by their number
+    same = (F.col("k") == first.k) & F.col("id").eqNullSafe(F.lit(first.id)) & (F.col("value") == first.value)
+    many = x.where(same).count()
+    rest = x.where(~same).select("k", "id", F.concat(F.lit(","), "value").alias("value"))
+    again = spark.range(many - 1).select(F.lit(-1).alias("k"), F.lit(1).cast("long").alias("id"), F.lit("," + first.value).alias("value"))
+    ends.append((-1, 0, first.value))
+    write_parts(rest.unionByName(again).unionByName(spark.createDataFrame(ends, shape)), order, path, mode, compression, parts)

@@ -111,7 +111,9 @@ def signed(x: int) -> int:
 
 
 def system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
+    if path.startswith("file:"):  # file:/a, as Hadoop writes it, too
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
 def opened(path: str):

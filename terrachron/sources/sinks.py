@@ -1,5 +1,6 @@
-"""Writing map XML, change files and diffs. Each element becomes its XML in column expressions; documents are lines in order,
-for text files, or one string for data that fits one."""
+"""Writing map XML, change files and diffs. Each element becomes its XML in column expressions. write_document() and
+write_change() write documents of any size, in parts: ranges of the elements in order, the head in the first and the foot in the last, so that
+the parts one after another are the document. document() and change_document() make one string, for data that fits one row."""
 
 from __future__ import annotations
 
@@ -161,6 +162,46 @@ def change_document(tables: dict[str, DataFrame], **attrs) -> DataFrame:
     return x.select(F.concat(F.lit(_head("osmChange", attrs)), *body, F.lit("</osmChange>")).alias("value"))
 
 
+def write_parts(pieces: DataFrame, order: list[str], path: str, mode: str = "errorifexists", compression: str = "none", parts: int | None = None) -> None:
+    """The column value of pieces, in order and a line each, as text files that make one document when they are read by name. No row but a
+    piece of its own is ever held, and Spark's writer puts all parts in place or none."""
+    dealt = pieces.repartitionByRange(parts, *order) if parts else pieces.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("value").write.mode(mode).option("compression", compression).text(path)
+
+
+#: Ranks before and behind those of all elements.
+_BEFORE, _BEHIND = -1, 1_000
+
+
+def _piece(spark, ranks: list[tuple[int, int]], texts: list[str]) -> DataFrame:
+    rows = [(a, k, None, None, t) for (a, k), t in zip(ranks, texts)]
+    return spark.createDataFrame(rows, "action_rank int, kind_rank int, id long, version int, value string")
+
+
+def write_document(tables: dict[str, DataFrame], path: str, bounds: dict | None = None, mode: str = "errorifexists", compression: str = "none", parts: int | None = None, **attrs) -> None:
+    """The document that document() makes, in parts and a line for each element."""
+    x = lines(tables)
+    spark = x.sparkSession
+    head = _head("osm", attrs)
+    if bounds:
+        box = F.struct(*(F.lit(float(bounds[k])).alias(k) for k in ("minlat", "maxlat", "minlon", "maxlon")))
+        head += spark.range(1).select(bounds_xml(box)).first()[0]
+    x = x.withColumn("action_rank", F.lit(0))
+    x = x.unionByName(_piece(spark, [(_BEFORE, 0), (_BEHIND, 0)], [head, "</osm>"]))
+    write_parts(x, ["action_rank", "kind_rank", "id", "version", "value"], path, mode, compression, parts)
+
+
+def write_change(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists", compression: str = "none", parts: int | None = None, **attrs) -> None:
+    """The change document that change_document() makes, in parts and a line for each element."""
+    x = lines(tables)
+    there = sorted(r.action_rank for r in x.select("action_rank").distinct().collect())  # three at most
+    names = ("create", "modify", "delete")
+    ranks = [(_BEFORE, 0), *((k, side) for k in there for side in (_BEFORE, _BEHIND)), (_BEHIND, 0)]
+    texts = [_head("osmChange", attrs), *(t for k in there for t in (f"<{names[k]}>", f"</{names[k]}>")), "</osmChange>"]
+    x = x.unionByName(_piece(x.sparkSession, ranks, texts))
+    write_parts(x, ["action_rank", "kind_rank", "id", "version", "value"], path, mode, compression, parts)
+
+
 def diff_lines(diff: DataFrame, old_xml: str = "old_xml", new_xml: str = "new_xml") -> DataFrame:
     """value: an action element per row; without an old state the new one stands bare."""
     old, new = F.col(old_xml), F.col(new_xml)

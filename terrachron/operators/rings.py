@@ -4,6 +4,8 @@ A segment is (index, orientation, reversed, points)."""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,29 +29,43 @@ class Segment:
         return f"Segment({self.index}, {self.line}, {self.orientation}, {self.reversed})"
 
 
+class _Ends:
+    """Which segments begin or end at a point: the first of those that are left."""
+
+    def __init__(self, segments: list[Segment]):
+        self.left, self.at = [True] * len(segments), {}
+        for k in range(len(segments) - 1, -1, -1):  # so that the first is at the end of each list
+            for p in {segments[k].line[0], segments[k].line[-1]}:
+                self.at.setdefault(p, []).append(k)
+
+    def first(self, p) -> int | None:
+        found = self.at.get(p, [])
+        while found and not self.left[found[-1]]:
+            found.pop()
+        return found[-1] if found else None
+
+
 def join(segments: list[Segment]) -> list[list[Segment]]:
     """Chains of segments end to end, from the last one on; of several that fit, the first. Shared points are dropped from
-    the segment added; one that fits backwards is turned. Lines of one point take no part."""
+    the segment added; one that fits backwards is turned. Lines of one point take no part. Each segment is looked up by its ends, so
+    that the work grows with the number of points."""
     rest = [Segment(s.index, s.line, s.orientation, s.reversed) for s in segments if len(s.line) > 1]
-    out = []
-    while rest:
-        chain = [rest.pop()]
-        first, last = chain[0].line[0], chain[0].line[-1]
+    ends, out = _Ends(rest), []
+    for start in range(len(rest) - 1, -1, -1):
+        if not ends.left[start]:
+            continue
+        ends.left[start] = False
+        chain = deque([rest[start]])
+        first, last = rest[start].line[0], rest[start].line[-1]
         while first != last:
-            hit = None
-            for k, s in enumerate(rest):
-                a, b = s.line[0], s.line[-1]
-                if last in (a, b):
-                    hit = (k, last != a, True)
-                elif first in (a, b):
-                    hit = (k, first == a, False)
-                if hit:
-                    break
-            if not hit:
+            behind, before = ends.first(last), ends.first(first)
+            if behind is None and before is None:
                 break
-            k, turn, at_end = hit
-            s = rest.pop(k)
-            if turn:
+            at_end = before is None or behind is not None and behind <= before
+            k = behind if at_end else before
+            s = rest[k]
+            ends.left[k] = False
+            if (last != s.line[0]) if at_end else (first == s.line[0]):
                 s.turn()
             if at_end:
                 s.line = s.line[1:]
@@ -57,9 +73,9 @@ def join(segments: list[Segment]) -> list[list[Segment]]:
                 last = s.line[-1]
             else:
                 s.line = s.line[:-1]
-                chain.insert(0, s)
+                chain.appendleft(s)
                 first = s.line[0]
-        out.append(chain)
+        out.append(list(chain))
     return out
 
 

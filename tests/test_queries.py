@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from terrachron.plans import catalogue, shapes, workload  # noqa: F401
+from terrachron.plans import catalogue, formats, shapes, workload  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

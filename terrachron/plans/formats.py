@@ -57,7 +57,7 @@ def _(t):
 
 
 @query("diff_round_trip", """SELECT CASE WHEN lag(version) OVER w IS NULL THEN 'create' WHEN visible THEN 'modify' ELSE 'delete' END AS action, id, CAST(version AS INT) AS version,
-  CAST(lag(version) OVER w AS INT) AS before, lag(visible) OVER w AS was_visible, visible FROM node_hist WINDOW w AS (PARTITION BY id ORDER BY version)""")
+  CAST(lag(version) OVER w AS INT) AS before, visible FROM node_hist WINDOW w AS (PARTITION BY id ORDER BY version)""")
 def _(t):
     h = node_history(t).withColumns({"user": F.lit("u"), "uid": F.lit(1), "tags": F.array().cast("array<struct<k: string, v: string>>")})
     h = h.withColumn("new_xml", sinks.element_xml("node", h)).withColumn("old_xml", F.lag("new_xml").over(Window.partitionBy("id").orderBy("version")))
@@ -67,7 +67,7 @@ def _(t):
     p = _folder(t, "diff")
     sinks.write_parts(rows.withColumn("version", F.col("version").cast("int")).unionByName(ends), ["o", "id", "version"], p, parts=1)
     d = xmlscan.diffs(xmlscan.scan(t.spark, _file(t, p), 1 << 19))
-    return d.select("action", "id", F.col("new_node.version").alias("version"), F.col("old_node.version").alias("before"), F.col("old_node.visible").alias("was_visible"), F.col("new_node.visible").alias("visible"))
+    return d.select("action", "id", F.col("new_node.version").alias("version"), F.col("old_node.version").alias("before"), F.col("new_node.visible").alias("visible"))
 
 
 @query("json_round_trip", "SELECT id, CAST(version AS INT) AS version, lat, lon, brand AS tag FROM node_v")

@@ -64,4 +64,4 @@ def test_run_and_registration(spark, folder):
     d, _ = folder
     assert corpus_pipeline.run(spark, d).count() > 0
     names = list(queries.queries())
-    assert names[0] == "pipeline" and sorted(n.split("_")[0] for n in names[1:]) == sorted(f"op{i}" for i in range(1, 11))
+    assert names[0] == "pipeline" and sorted(n.split("_")[0] for n in names[1:]) == sorted(f"op{i}" for i in range(1, 14))

@@ -54,6 +54,8 @@ def varints(b: bytes) -> np.ndarray:
     a = np.frombuffer(b, np.uint8)
     if not len(a):
         return np.zeros(0, np.uint64)
+    if a.max() < 128:  # a byte each
+        return a.astype(np.uint64)
     last = np.flatnonzero(a < 128)
     first = np.append(0, last[:-1] + 1)
     length = last - first + 1

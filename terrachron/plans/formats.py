@@ -44,7 +44,7 @@ def _(t):
 def _(t):
     p = _folder(t, "xml")
     sinks.write_document({"way": ways(t)}, p)  # in as many parts as there are: their rows are whole elements
-    d = xml.read(t.spark, p, "way")
+    d = xml.read(t.spark, p, "way", parts=True)
     return d.select("id", F.size("nodes").cast("long").alias("n"), F.aggregate("nodes", F.lit(0).cast("long"), lambda s, x: s + x["ref"]).alias("refs"))
 
 

@@ -73,12 +73,20 @@ def _shaped(kind: str, get, visible=None) -> list:
     return [meta("id"), get("display_name").alias("name"), *map(meta, names), get("languages")["lang"].alias("languages"), meta("blocks"), meta("messages"), _set(get("account_created")).alias("created_at")]
 
 
-def read(spark: SparkSession, path, kind: str, any_case: bool = False) -> DataFrame:
+def _lines(spark: SparkSession, path, tag: str, raw: str) -> DataFrame:
+    """Records of the lines that are elements of the name."""
+    d = spark.read.text(path).where(F.col("value").startswith(f"<{tag} "))
+    return d.select(F.from_xml("value", T.StructType.fromDDL(raw), {"rowTag": tag, "attributePrefix": ""}).alias("r")).select("r.*")
+
+
+def read(spark: SparkSession, path, kind: str, any_case: bool = False, parts: bool = False) -> DataFrame:
     """All records of one kind, at any depth: so change files are flattened. any_case: also those whose element is named Node or
-    NODE, at the price of two more parses."""
-    d = _read(spark, path, kind, _RAW[kind])
+    NODE, at the price of two more parses. Spark's source reads whole documents only: of a file with several roots, such as a part of a document, it gives
+    no more than the first. parts: the files are parts as sinks writes them, a line for each element, and are read line by line."""
+    read_ = _lines if parts else _read
+    d = read_(spark, path, kind, _RAW[kind])
     for tag in (kind.capitalize(), kind.upper()) if any_case else ():
-        d = d.unionByName(_read(spark, path, tag, _RAW[kind]))
+        d = d.unionByName(read_(spark, path, tag, _RAW[kind]))
     if kind == "user":  # comments of notes name their users in elements of the same name, without id
         d = d.where("id is not null")
     return d.select(*_shaped(kind, F.col))

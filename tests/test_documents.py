@@ -146,3 +146,13 @@ def test_parts_are_read_back(spark, tmp_path):
     key = lambda d: d.select("id", "version", "timestamp", F.get("tags", F.lit(0))["v"].alias("v"))
     for kind in t:
         assert key(got[kind]).exceptAll(key(t[kind])).count() == 0 and got[kind].count() == t[kind].count()
+
+
+def test_each_part_is_read_by_kind(spark, tmp_path):
+    """Parts have no root of their own; Spark's XML source gave the elements of the first part only."""
+    w = ways(spark, 901).where("id > 0")  # zero references are left out
+    sinks.write_document({"way": w, "node": nodes(spark, 50)}, str(tmp_path / "a"), parts=5, version="0.6")
+    got = xml.read(spark, str(tmp_path / "a"), "way", parts=True)
+    keep = lambda d: rows_of(d.select("id", "user", "version", "timestamp", "tags", "nodes"))
+    assert keep(got) == keep(w) and got.count() == 900
+    assert xml.read(spark, str(tmp_path / "a"), "node", parts=True).count() == 50

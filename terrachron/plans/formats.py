@@ -10,21 +10,16 @@ from pyspark.sql.window import Window
 from ..operators import cells
 from ..sources import json as js
 from ..sources import sinks, xml, xmlscan
-from ..tables import shared_dir
+from ..tables import shared_dir, written
 from .workload import node_history, nodes, query, ways
 
+SPLIT = 4 << 20  # bytes of a document that one task parses
+
 
 def _folder(t, name: str) -> str:
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _file(t, folder: str) -> str:
-    """The one part of a document."""
-    p = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
-    (found,) = p.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found.getPath().toString()
-
-
 def _tag(d, *columns):
     return d.select("id", "version", *columns, F.get("tags", F.lit(0))["v"].alias("tag"))
 
@@ -33,8 +28,8 @@ def _tag(d, *columns):
   UNION ALL SELECT 'way', id, 1, NULL, NULL, status FROM way_v WHERE id IN (SELECT way_id FROM ref_v)""")
 def _(t):
     p = _folder(t, "xml")
-    sinks.write_document({"node": nodes(t), "way": ways(t)}, p, parts=1, version="0.6")
-    got = xmlscan.tables(xmlscan.scan(t.spark, _file(t, p), 1 << 20))
+    sinks.write_document({"node": nodes(t), "way": ways(t)}, p, version="0.6")
+    got = xmlscan.tables(written(xmlscan.scan(t.spark, p, SPLIT, parts=True), "scan"))  # one parse for both
     none = [F.lit(None).cast("double").alias(c) for c in ("lat", "lon")]
     n, w = _tag(got["node"], "lat", "lon"), _tag(got["way"], *none)
     return n.select(F.lit("node").alias("kind"), "*").unionByName(w.select(F.lit("way").alias("kind"), "*"))
@@ -52,8 +47,8 @@ def _(t):
 def _(t):
     p = _folder(t, "change")
     action = F.when(F.col("id") % 3 == 0, "create").when(F.col("id") % 3 == 1, "modify").otherwise("delete")
-    sinks.write_change({"node": nodes(t).withColumn("action", action)}, p, parts=1)
-    return xmlscan.changes(xmlscan.scan(t.spark, _file(t, p), 1 << 19))["node"].select("action", "id", "version", "lat")
+    sinks.write_change({"node": nodes(t).withColumn("action", action)}, p)
+    return xmlscan.changes(xmlscan.scan(t.spark, p, SPLIT, parts=True))["node"].select("action", "id", "version", "lat")
 
 
 @query("diff_round_trip", """SELECT CASE WHEN lag(version) OVER w IS NULL THEN 'create' WHEN visible THEN 'modify' ELSE 'delete' END AS action, id, CAST(version AS INT) AS version,
@@ -65,16 +60,16 @@ def _(t):
     rows = sinks.diff_lines(h).select(F.lit(1).alias("o"), "id", "version", "value")
     ends = t.spark.createDataFrame([(0, None, None, "<osm>"), (2, None, None, "</osm>")], "o int, id long, version int, value string")
     p = _folder(t, "diff")
-    sinks.write_parts(rows.withColumn("version", F.col("version").cast("int")).unionByName(ends), ["o", "id", "version"], p, parts=1)
-    d = xmlscan.diffs(xmlscan.scan(t.spark, _file(t, p), 1 << 19))
+    sinks.write_parts(rows.withColumn("version", F.col("version").cast("int")).unionByName(ends), ["o", "id", "version"], p)
+    d = xmlscan.diffs(xmlscan.scan(t.spark, p, SPLIT, parts=True))
     return d.select("action", "id", F.col("new_node.version").alias("version"), F.col("old_node.version").alias("before"), F.col("new_node.visible").alias("visible"))
 
 
 @query("json_round_trip", "SELECT id, CAST(version AS INT) AS version, lat, lon, brand AS tag FROM node_v")
 def _(t):
     p = _folder(t, "json")
-    js.write_document({"node": nodes(t)}, p, version="0.6", parts=1)
-    d = js.read(t.spark, _file(t, p))["node"]
+    js.write_document({"node": nodes(t)}, p, version="0.6")
+    d = js.read(t.spark, p, parts=True)["node"]
     brand = F.get(F.filter("tags", lambda x: x["k"] == "brand"), F.lit(0))["v"]
     return d.select("id", "version", "lat", "lon", brand.alias("tag"))
 

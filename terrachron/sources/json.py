@@ -17,10 +17,20 @@ _ELEMENT = (
 )
 
 
-def read(spark: SparkSession, path) -> dict[str, DataFrame]:
-    """node, way and relation tables of documents; a version may be a number or a string, and is null where absent."""
-    doc = spark.read.schema(f"elements array<{_ELEMENT}>").option("multiLine", True).json(path)
-    e = doc.select(F.explode("elements").alias("e")).select("e.*").withColumn("version", F.col("version").try_cast("int"))
+def _each(spark: SparkSession, path, shape: str, parts: bool) -> DataFrame:
+    """A row for each element."""
+    if parts:
+        line = F.ltrim(F.col("value"), F.lit(","))
+        lines = spark.read.text(path).select(line.alias("value")).where(F.col("value").startswith('{"type":'))
+        return lines.select(F.from_json("value", shape).alias("e")).select("e.*")
+    doc = spark.read.schema(f"elements array<{shape}>").option("multiLine", True).json(path)
+    return doc.select(F.explode("elements").alias("e")).select("e.*")
+
+
+def read(spark: SparkSession, path, parts: bool = False) -> dict[str, DataFrame]:
+    """node, way and relation tables of documents; a version may be a number or a string, and is null where absent. A document is read whole by one
+    task; parts: the files are parts of one as write_document makes them, a line for each element, and are read line by line."""
+    e = _each(spark, path, _ELEMENT, parts).withColumn("version", F.col("version").try_cast("int"))
     e = e.withColumn("visible", F.coalesce("visible", F.lit(False))).withColumn("tags", F.coalesce(tags.from_map("tags"), F.array().cast(schema.TAGS)))
     unset = lambda c: F.when(F.col(c) >= F.lit("0002-01-01").cast("timestamp"), F.col(c))
     e = e.withColumns({c: unset(c) for c in ("timestamp", "committed")})

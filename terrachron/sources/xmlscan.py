@@ -1,8 +1,9 @@
 """Map XML of any kind in one parse: documents, change files and diffs, with elements of all kinds as rows of one table.
 
 A file is cut into ranges of bytes; a range's task parses the units (elements; in diffs, actions) that start in its range, and
-goes on beyond its end as far as the last one needs. A range that starts inside a file looks for its first unit, and backwards for the
-block (create, modify, delete) that is open there. Element names count in any case. Compressed files are one range each.
+goes on beyond its end as far as the last one needs. A range that starts inside a file looks for its first unit; which
+block (create, modify, delete) is open there is told by the last edge of one in each range before, found in a pass of its own. Element names count in any
+case. Compressed files are one range each. The parts of one document (`parts`), which no element crosses, are read like ranges of it.
 
 A row has path, position (the byte where its unit begins), kind, action, side (old or new, in diffs) and, in the column of its kind, the raw
 record; tables() and changes() shape them as the other readers do, diffs() puts old and new side by side.
@@ -22,6 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .pbf import arrow_shape, system
 from .xml import _RAW, _shaped
@@ -35,6 +37,7 @@ _EDGE = re.compile(rb"<(/?)(create|modify|delete)[\s>]", re.I)
 _NAME = re.compile(rb"<([A-Za-z][\w.:-]*)")
 _OVER = 16  # bytes that a name at the border of two pieces may need
 _PACKED = (".gz", ".bz2")
+_HEAD = 1 << 16
 
 
 def _struct(kind: str, times_as_text: bool) -> T.StructType:
@@ -161,17 +164,36 @@ class Parser:
         return out
 
 
-def _before(f, at: int, piece: int = 1 << 20) -> bytes:
-    """Name of the block that is open at a byte, as it is written; nothing if none is."""
+def _before(f, at: int, low: int = 0, piece: int = 1 << 20) -> bytes | None:
+    """Name of the block that is open at a byte, as it is written; nothing if none is; None if that is decided before `low`."""
     end = at
-    while end > 0:
-        start = max(0, end - piece)
+    while end > low:
+        start = max(low, end - piece)
         f.seek(start)
         edges = list(_EDGE.finditer(f.read(min(at, end + _OVER) - start)))
         if edges:
             return b"" if edges[-1][1] else edges[-1][2]
         end = start
-    return b""
+    return None
+
+
+def _open_at_end(path: str, start: int, end: int) -> str | None:
+    """The block that is open at the end of a range, by the last edge that begins in it; None: no edge does."""
+    fs, at = system(path)
+    with fs.open_input_file(at) as f:
+        f.seek(end)
+        over = f.read(_OVER)  # an edge that begins before the end may reach beyond it
+        edges = [m for m in _EDGE.finditer(_tail(f, start, end) + over) if m.start() < min(_OVER, end - start)]
+        if edges:
+            return "" if edges[-1][1] else edges[-1][2].decode()
+        found = _before(f, end, start)
+    return None if found is None else found.decode()
+
+
+def _tail(f, start: int, end: int) -> bytes:
+    low = max(start, end - _OVER)
+    f.seek(low)
+    return f.read(end - low)
 
 
 def _first(f, pattern, at: int, size: int, piece: int = 1 << 20) -> int | None:
@@ -183,9 +205,13 @@ def _first(f, pattern, at: int, size: int, piece: int = 1 << 20) -> int | None:
     return None
 
 
-def units(path: str, start: int, end: int, size: int, piece: int = 1 << 20):
-    """(position, kind, action, side, element) of the units that start in a range."""
+def units(path: str, start: int, end: int, size: int, piece: int = 1 << 20, block: str | None = None, part: tuple | None = None):
+    """(position, kind, action, side, element) of the units that start in a range. block: what is open where it starts, if that is known.
+    part: of a file that is a part of a document, the root's name, whether it is a diff, whether it is the first and the last."""
     fs, at = system(path)
+    if part:
+        root, diff, is_first, is_last = part
+        root = root.encode()
     if path.endswith(_PACKED):
         with fs.open_input_stream(at, compression="detect") as f:
             parser = Parser(0, None)
@@ -194,22 +220,31 @@ def units(path: str, start: int, end: int, size: int, piece: int = 1 << 20):
             yield from parser.feed(b"", True)
         return
     with fs.open_input_file(at) as f:
-        head = f.read(1 << 16)
-        names = _NAME.findall(head)
-        diff = bool(_ACTION.search(head))
+        if not part:
+            is_first = is_last = True
+            root, diff = _root(f.read(_HEAD))
         prefix, place = b"", 0
-        if start:
+        if start or not is_first:
             place = _first(f, _ACTION if diff else _UNIT, start, size)
             if place is None or place >= end:
                 return
-            block = b"" if diff else _before(f, place)
-            prefix = b"<" + names[0] + b">" + (b"<" + block + b">" if block else b"")
+            own = b"" if diff else _before(f, place, 0 if block is None else start)
+            own = (block or "").encode() if own is None else own
+            prefix = b"<" + root + b">" + (b"<" + own + b">" if own else b"")
         parser = Parser(place, end if end < size else None, prefix)
         f.seek(place)
         while not parser.done and (data := f.read(piece)):
             yield from parser.feed(data)
-        if not parser.done:
+        if not parser.done and is_last:
             yield from parser.feed(b"", True)
+        elif not parser.done and (parser.stack or parser.position is not None):
+            raise ValueError(f"an element of {path} is not closed")
+
+
+def _root(head: bytes) -> tuple[bytes, bool]:
+    """Name of the root, and whether the document is a diff."""
+    names = _NAME.findall(head)
+    return names[0] if names else b"", bool(_ACTION.search(head))
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -222,12 +257,43 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((root + x.path[len(at.rstrip("/")) :], x.size) for x in inside if x.type == pafs.FileType.File and not x.base_name.startswith((".", "_")) and x.size)
 
 
-def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
-    """Every element of a file, or of the files of a folder, in one parse."""
-    ranges = []
-    for p, size in _files(path):
+def _start_of(files: list[tuple[str, int]]) -> bytes:
+    """The first bytes of a document in parts."""
+    head = b""
+    for p, _size in files:
+        fs, at = system(p)
+        with fs.open_input_file(at) as f:
+            head += f.read(_HEAD - len(head))
+        if len(head) == _HEAD:
+            break
+    return head
+
+
+def _blocks(given: DataFrame, parts: bool) -> DataFrame:
+    """The ranges with block: what is open where they start."""
+
+    def run(batches):
+        for b in batches:
+            b["edge"] = [None if p.endswith(_PACKED) else _open_at_end(p, a, e) for p, a, e in zip(b["path"], b["start"], b["end"])]
+            yield b
+
+    d = given.mapInPandas(run, T.StructType([*given.schema.fields, T.StructField("edge", T.StringType())]))
+    w = Window.partitionBy(F.lit(0) if parts else F.col("path")).orderBy("path", "start")  # a row for each range
+    d = d.withColumn("block", F.coalesce(F.last("edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")))
+    return d.select(*given.columns, "block")
+
+
+def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT, parts: bool = False) -> DataFrame:
+    """Every element of a file, or of the files of a folder, in one parse. parts: the files, in order of their names, are one document, cut
+    between its elements, as sinks writes it."""
+    ranges, files = [], _files(path)
+    for p, size in files:
         step = size if p.endswith(_PACKED) else split_bytes
         ranges += [(p, a, min(size, a + step), size) for a in range(0, size, step)]
+    if parts and any(p.endswith(_PACKED) for p, _size in files):
+        raise ValueError("parts of a document can't be compressed")
+    root, diff = _root(_start_of(files)) if parts else (b"", False)
+    root, ends = root.decode(), (files[0][0], files[-1][0]) if files else (None, None)
     shape = T.StructType([T.StructField("path", T.StringType()), T.StructField("position", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("kind", "action", "side"))])
     for kind in KINDS:
         shape = shape.add(kind, _struct(kind, True))
@@ -237,9 +303,10 @@ def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     def run(batches):
         make = {kind: maker(s) for kind, s in shapes.items()}
         for b in batches:
-            for p, a, e, size in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for p, a, e, size, block in zip(*(b.column(i).to_pylist() for i in range(5))):
                 rows = []
-                for at, kind, action, side, element in units(p, a, e, size):
+                part = (root, diff, p == ends[0], p == ends[1]) if parts else None
+                for at, kind, action, side, element in units(p, a, e, size, block=block, part=part):
                     rows.append({"path": p, "position": at, "kind": kind, "action": action, "side": side, kind: make[kind](element)})
                     if len(rows) == 2000:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -248,7 +315,10 @@ def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     given = spark.createDataFrame(ranges, "path string, start long, end long, size long")
-    out = given.repartition(max(1, len(ranges)), "path", "start").mapInArrow(run, shape)
+    dealt = lambda d: d.repartition(max(1, len(ranges)), "path", "start")
+    several = parts and len(ranges) > 1 and not diff or not parts and len(ranges) > len(files)
+    given = _blocks(dealt(given), parts) if several else given.withColumn("block", F.lit(""))
+    out = dealt(given).mapInArrow(run, shape)
     # times are read by Spark; those that can't be are null
     return out.select("path", "position", "kind", "action", "side", *(_timed(F.col(k), _struct(k, False)).alias(k) for k in KINDS))
 

@@ -156,3 +156,53 @@ def test_each_part_is_read_by_kind(spark, tmp_path):
     keep = lambda d: rows_of(d.select("id", "user", "version", "timestamp", "tags", "nodes"))
     assert keep(got) == keep(w) and got.count() == 900
     assert xml.read(spark, str(tmp_path / "a"), "node", parts=True).count() == 50
+
+
+def test_parts_are_scanned_as_one_document(spark, tmp_path):
+    act = lambda d: d.withColumn("action", F.when(F.col("id") % 3 == 0, "delete").when(F.col("id") % 3 == 1, "create").otherwise("modify"))
+    sinks.write_change({"node": act(nodes(spark, 900)), "way": act(ways(spark, 90))}, str(tmp_path / "c"), parts=7)
+    sinks.write_document({"node": nodes(spark, 900), "way": ways(spark, 90)}, str(tmp_path / "d"), parts=7, version="0.6")
+    for name, size in (("c", 1 << 20), ("c", 30_000), ("d", 30_000)):
+        whole = tmp_path / f"{name}{size}.osm"
+        whole.write_text("".join(open(p, encoding="utf-8", newline="").read() for p in sorted(glob.glob(f"{tmp_path / name}/part-*"))), encoding="utf-8")
+        shape = xmlscan.changes if name == "c" else xmlscan.tables
+        got, want = shape(xmlscan.scan(spark, str(tmp_path / name), size, parts=True)), shape(xmlscan.scan(spark, str(whole)))
+        assert rows_of(got["node"]) == rows_of(want["node"]) and rows_of(got["way"]) == rows_of(want["way"]) and got["node"].count() == 900
+    cut = tmp_path / "e"
+    cut.mkdir()
+    (cut / "part-0").write_text("<osm><node id='1' lat='1'>")
+    (cut / "part-1").write_text("</node></osm>")
+    with pytest.raises(Exception, match="not closed"):
+        xmlscan.scan(spark, str(cut), parts=True).collect()
+
+
+def test_blocks_are_not_looked_for_before_the_range(tmp_path, monkeypatch):
+    """A document without blocks was read back to its first byte for every range."""
+    p = tmp_path / "a.osm"
+    p.write_text("<osm>" + "".join(f"<node id='{i}' lat='1'/>" for i in range(5000)) + "</osm>")
+    n, lows, before = p.stat().st_size, [], xmlscan._before
+    monkeypatch.setattr(xmlscan, "_before", lambda f, at, low=0, piece=1 << 20: lows.append(low) or before(f, at, low, piece))
+    got = [x for a in range(0, n, 1000) for x in xmlscan.units(str(p), a, min(n, a + 1000), n, block="")]
+    assert len(got) == 5000 and lows and min(lows) >= 1000
+
+
+def test_edges_of_blocks_at_the_ends_of_ranges(tmp_path):
+    for text in (CHANGE, MIXED):
+        p = tmp_path / "x.osc"
+        p.write_text(text, encoding="utf-8")
+        n = p.stat().st_size
+        for size in (1, 5, 40, 333):
+            block, out = "", []
+            for a in range(0, n, size):
+                out += [(at, kind, action) for at, kind, action, _side, _e in xmlscan.units(str(p), a, min(n, a + size), n, 64, block=block)]
+                edge = xmlscan._open_at_end(str(p), a, min(n, a + size))
+                block = block if edge is None else edge
+            assert out == [(at, kind, action) for at, kind, action, _side, _e in xmlscan.units(str(p), 0, n, n)]
+
+
+def test_json_parts_are_read_by_lines(spark, tmp_path):
+    js.write_document({"node": nodes(spark, 400), "way": ways(spark, 50)}, str(tmp_path / "j"), version="0.6", parts=4)
+    (tmp_path / "w.json").write_text(js.document({"node": nodes(spark, 400), "way": ways(spark, 50)}, version="0.6").first().value, encoding="utf-8")
+    got, want = js.read(spark, str(tmp_path / "j"), parts=True), js.read(spark, str(tmp_path / "w.json"))
+    for kind in ("node", "way"):
+        assert rows_of(got[kind]) == rows_of(want[kind]) and got[kind].dtypes == want[kind].dtypes

@@ -11,6 +11,11 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value, f):
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def contains(bounds, lat, lon):
     """Whether the point lies in the bounds, edges included."""
     b = _c(bounds)
@@ -52,18 +57,22 @@ def updates_until(updates, t):
 
 def line_at(nodes, updates, t):
     """Points as of t: updates apply in their order until the first after t; nodes without a location at first stay out."""
-    nodes, updates, t = _c(nodes), _c(updates), _c(t)
-    late = F.transform(updates, lambda u: F.coalesce(u["timestamp"] > t, F.lit(False)))
-    first = F.array_position(late, F.lit(True))
-    used = F.when(first > 0, F.slice(updates, F.lit(1), (first - 1).cast("int"))).otherwise(updates)
-
-    def place(n, i):
-        u = F.element_at(F.filter(used, lambda u: u["index"] == i), -1)
-        got = F.exists(used, lambda u: u["index"] == i)
+    nodes, t = _c(nodes), _c(t)
+
+    def until(updates):
+        late = F.transform(updates, lambda u: F.coalesce(u["timestamp"] > t, F.lit(False)))
+        first = F.array_position(late, F.lit(True))
+        return _once(first, lambda k: F.when(k > 0, F.slice(updates, F.lit(1), (k - 1).cast("int"))).otherwise(updates))
+
+    def place(n, own):
+        got, u = F.size(own) > 0, F.try_element_at(own, F.lit(-1))
         return F.struct(F.when(got, u["lon"]).otherwise(F.coalesce(n["lon"], F.lit(0.0))).alias("lon"), F.when(got, u["lat"]).otherwise(F.coalesce(n["lat"], F.lit(0.0))).alias("lat"), annotated(n).alias("ok"))
 
-    moved = F.filter(F.transform(nodes, place), lambda p: p["ok"])
-    return F.transform(moved, lambda p: F.struct(p["lon"], p["lat"]))
+    def points(used):
+        each = F.transform(nodes, lambda n, i: _once(F.filter(used, lambda u: u["index"] == i), lambda own: place(n, own)))
+        return F.transform(F.filter(each, lambda p: p["ok"]), lambda p: F.struct(p["lon"], p["lat"]))
+
+    return _once(_once(_c(updates), until), points)
 
 
 def nodes_updated(nodes, updates, t):
@@ -148,20 +157,15 @@ def distance(lat1, lon1, lat2, lon2):
 def centroid(points):
     """Mean of the midpoints of a line's segments, weighted by their lengths; null without length."""
     p = _c(points)
-    pairs = F.zip_with(F.slice(p, F.lit(1), F.greatest(F.lit(0), F.size(p) - 1)), F.slice(p, F.lit(2), F.greatest(F.lit(0), F.size(p) - 1)), lambda a, b: F.struct(a.alias("0"), b.alias("1")))
+    part = lambda a, b: F.struct(distance(a["lat"], a["lon"], b["lat"], b["lon"]).alias("w"), (a["lon"] + b["lon"]).alias("lon"), (a["lat"] + b["lat"]).alias("lat"))
+    parts = F.zip_with(F.slice(p, F.lit(1), F.greatest(F.lit(0), F.size(p) - 1)), F.slice(p, F.lit(2), F.greatest(F.lit(0), F.size(p) - 1)), part)
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    add = lambda s, q: F.struct((s["w"] + q["w"]).alias("w"), (s["lon"] + q["w"] * q["lon"] / 2).alias("lon"), (s["lat"] + q["w"] * q["lat"] / 2).alias("lat"))
+    return _once(F.aggregate(parts, zero, add), lambda s: F.when(s["w"] > 0, F.struct((s["lon"] / s["w"]).alias("lon"), (s["lat"] / s["w"]).alias("lat"))))
 
-    def add(s, q):
-        a, b = q["0"], q["1"]
-        w = distance(a["lat"], a["lon"], b["lat"], b["lon"])
-        return F.struct((s["w"] + w).alias("w"), (s["lon"] + w * (a["lon"] + b["lon"]) / 2).alias("lon"), (s["lat"] + w * (a["lat"] + b["lat"]) / 2).alias("lat"))
-
-    s = F.aggregate(pairs, zero, add)
-    return F.when(s["w"] > 0, F.struct((s["lon"] / s["w"]).alias("lon"), (s["lat"] / s["w"]).alias("lat")))
 
-
-def point_on_line(points):
-    """The vertex nearest the centroid; the first of equals."""
-    p, c = _c(points), centroid(points)
-    far = F.transform(p, lambda q, i: F.struct(distance(q["lat"], q["lon"], c["lat"], c["lon"]).alias("d"), i.alias("i"), q.alias("p")))
-    return F.array_min(far)["p"]
+def point_on_line(points, centre=None):
+    """The vertex nearest the centroid (or the centre given); the first of equals."""
+    p = _c(points)
+    far = lambda c: F.array_min(F.transform(p, lambda q, i: F.struct(distance(q["lat"], q["lon"], c["lat"], c["lon"]).alias("d"), i.alias("i"), q.alias("p"))))
+    return _once(centroid(p) if centre is None else _c(centre), far)["p"]

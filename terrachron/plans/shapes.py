@@ -108,15 +108,20 @@ def _open_lines(t):
     return joins.way_points(ways(t).withColumn("nodes", F.when((F.col("id") - 1) % 3 == 0, F.slice("nodes", F.lit(1), F.size("nodes") - 1)).otherwise(F.col("nodes"))), nodes(t))
 
 
+def _centred(t):
+    """Lines with their centroid c, if they have one; exploded, as a filter on it would work it out again."""
+    return _open_lines(t).select("id", "points", F.explode(F.array_compact(F.array(geo.centroid("points")))).alias("c"))
+
+
 @query("centroids", _SEGMENTS + " SELECT id, round(lon, 6) + 0 AS lon, round(lat, 6) + 0 AS lat FROM c")
 def _(t):
-    d = _open_lines(t).select("id", geo.centroid("points").alias("c")).where("c is not null")
+    d = _centred(t)
     return d.select("id", (F.round("c.lon", 6) + 0).alias("lon"), (F.round("c.lat", 6) + 0).alias("lat"))
 
 
 @query("points_on_lines", _SEGMENTS + """ SELECT p.id, round(min(2 * 6378137.0 * asin(sqrt(least(1.0, power(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lon - p.lon) / 2), 2))))), 2) + 0 AS metres FROM p JOIN c ON p.id = c.id GROUP BY p.id""")
 def _(t):
-    d = _open_lines(t).select("id", geo.point_on_line("points").alias("p"), geo.centroid("points").alias("c")).where("c is not null")
+    d = _centred(t).select("id", geo.point_on_line("points", "c").alias("p"), "c")
     return d.select("id", (F.round(geo.distance("p.lat", "p.lon", "c.lat", "c.lon"), 2) + 0).alias("metres"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,13 +70,9 @@ def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, i
     kind = tags.find_or_empty("tags", "type")
     m = _member_structs(relations.where(kind.isin("route", "multipolygon", "boundary")), ways, nodes)
 
-    def build(batches):
-        for b in batches:
-            out = []
-            for rid, rt, ms in zip(b["id"], b["tags"], b["ms"]):
-                own = _last(rt)
-                out += (_route if own.get("type") == "route" else _area)(int(rid), own, ms)
-            yield pd.DataFrame(out, columns=["what", "type", "id", "geometry", "tags", "tainted"])
+    def build(rid, rt, ms):
+        own = _last(rt)
+        return (_route if own.get("type") == "route" else _area)(rid, own, ms)
 
     def points(x):
         return [(p["lon"], p["lat"]) for p in x["points"]] if x["points"] is not None else []
@@ -132,7 +127,7 @@ def relation_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame, i
         done = [("used", "way", u, None, {}, False) for u in dict.fromkeys(used)]
         return [*done, ("feature", *what[:2], json.dumps(g), what[2], tainted)]
 
-    both = m.mapInPandas(build, "what string, " + FEATURE)
+    both = rings.by_slices(m, build, ["id", "tags", "ms"], "what string, " + FEATURE)
     return both.where("what = 'feature'").drop("what"), both.where("what = 'used'").select("id").distinct()
 
 

@@ -7,9 +7,11 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Segment:
@@ -164,20 +166,38 @@ def member_segments(relations: DataFrame, ways: DataFrame, versions: bool = Fals
     return j.where("points is not null").groupBy("id").agg(F.array_sort(F.collect_list(s)).cast(_SEG).alias("segs"))
 
 
-def joined(relations: DataFrame, ways: DataFrame, role: str | None = None) -> DataFrame:
-    """id, chain, indexes, points, is_ring: the chains that each relation's way members form."""
+#: Relations whose members are Python objects at one time.
+ROWS = 200
+
+
+def by_slices(df: DataFrame, make, columns: list[str], ddl: str) -> DataFrame:
+    """The rows that make gives for each row's columns. An Arrow batch becomes Python objects a slice at a time, so that they take as much memory
+    as its size allows, whatever the batch has."""
+    shape = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(shape)
+    entries = lambda v: list(v.items()) if isinstance(v, dict) else v
 
     def run(batches):
         for b in batches:
-            out = []
-            for i, segs in zip(b["id"], b["segs"]):
-                for k, c in enumerate(join(_segments(segs, role))):
-                    p = line_of(c)
-                    out.append((i, k, [s.index for s in c], [{"lon": x, "lat": y} for x, y in p], p[0] == p[-1]))
-            yield pd.DataFrame(out, columns=["id", "chain", "indexes", "points", "is_ring"])
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                out = [r for row in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)) for r in make(*row)]
+                if out:
+                    yield pa.RecordBatch.from_pylist([{n: entries(v) for n, v in zip(arrow.names, r)} for r in out], schema=arrow)
+
+    return df.mapInArrow(run, shape)
+
+
+def joined(relations: DataFrame, ways: DataFrame, role: str | None = None) -> DataFrame:
+    """id, chain, indexes, points, is_ring: the chains that each relation's way members form."""
+
+    def chains(i, segs):
+        for k, c in enumerate(join(_segments(segs, role))):
+            p = line_of(c)
+            yield i, k, [s.index for s in c], [{"lon": x, "lat": y} for x, y in p], p[0] == p[-1]
 
     s = member_segments(relations, ways).select("id", "segs")
-    return s.mapInPandas(run, "id bigint, chain int, indexes array<int>, points array<struct<lon: double, lat: double>>, is_ring boolean")
+    return by_slices(s, chains, ["id", "segs"], "id bigint, chain int, indexes array<int>, points array<struct<lon: double, lat: double>>, is_ring boolean")
 
 
 def member_orientations(relations: DataFrame, ways: DataFrame, versions: bool = True) -> DataFrame:
@@ -189,17 +209,14 @@ def member_orientations(relations: DataFrame, ways: DataFrame, versions: bool =
     r = relations.where(relation_is_area("tags")).withColumn("_key", F.xxhash64(*cols))
     keyed = r.select(F.col("_key").alias("id"), "members")
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, segs in zip(b["id"], b["segs"]):
-                for role, want in (("outer", 1), ("inner", -1)):
-                    for c in join(_segments(segs, role)):
-                        turned = side(line_of(c)) != want
-                        out += [(i, s.index, -want if turned != s.reversed else want) for s in c]
-            yield pd.DataFrame(out, columns=["id", "idx", "o"])
-
-    got = member_segments(keyed, ways, versions).mapInPandas(run, "id bigint, idx int, o int")
+    def sides(i, segs):
+        for role, want in (("outer", 1), ("inner", -1)):
+            for c in join(_segments(segs, role)):
+                turned = side(line_of(c)) != want
+                for s in c:
+                    yield i, s.index, -want if turned != s.reversed else want
+
+    got = by_slices(member_segments(keyed, ways, versions), sides, ["id", "segs"], "id bigint, idx int, o int")
     got = got.groupBy(F.col("id").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "o"))).alias("_o"))
     d = relations.withColumn("_key", F.xxhash64(*cols)).join(got, "_key", "left")
     one = lambda m, i: m.withField("orientation", F.coalesce(F.try_element_at(F.col("_o"), i).cast("tinyint"), m["orientation"]))

@@ -44,3 +44,17 @@ def test_many_segments_in_seconds():
     star = [Segment(i, [(0, 0), (i + 1, 0)]) for i in range(n)]
     assert sum(map(len, rings.join(star))) == n
     assert time.time() - began < 20
+
+
+def test_members_are_objects_a_slice_at_a_time(spark):
+    """A whole batch of 10,000 relations became Python objects at once."""
+    d = spark.range(0, 5000, 1, 1).selectExpr("id", "array(id) AS segs")
+
+    def many(i, segs):
+        import sys
+
+        live = sys._getframe(1).f_locals.get("part")
+        yield i, live.num_rows
+
+    got = rings.by_slices(d, many, ["id", "segs"], "id bigint, n bigint").collect()
+    assert sorted(r.id for r in got) == list(range(5000)) and max(r.n for r in got) <= rings.ROWS

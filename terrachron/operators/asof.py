@@ -71,21 +71,27 @@ def numbered(versions: DataFrame, keys: list[str], order: list[str], reach: dict
     return carried(rows, keys, cuts, total, fill).drop("_b")
 
 
-def answered(events: DataFrame, questions: DataFrame, keys: list[str], state: list[str], most: int = MOST, counted: DataFrame | None = None) -> DataFrame:
-    """questions (keys, t, and columns of their own) with the state at t: of each column of state the last value, not null, of the events (keys,
-    t, o, n, state) up to it. Events with o below 0 come before questions of the same time, others behind; n orders events of one o.
-    A key's values of n must not fall with time for one column of state; columns of state that belong together are a struct. Without
-    crowded keys, the result is dealt out by keys. counted: as of crowded()."""
-    own = [c for c in questions.columns if c not in (*keys, "t")]
-    kinds = {f.name: f.dataType for f in (*events.schema, *questions.schema)}
-    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    all_ = events.select(*keys, "t", "o", "n", *state, *map(null, own), F.lit(False).alias("_asks"))
-    all_ = all_.unionByName(questions.select(*keys, "t", F.lit(0).alias("o"), F.lit(0).cast("bigint").alias("n"), *map(null, state), *own, F.lit(True).alias("_asks")))
-    cuts = crowded(questions.select(*keys, "t"), keys, "t", most, counted)
-    rows = stretches(all_, keys, "t", cuts)
+def answered(versions: DataFrame, events: Column, questions: DataFrame, asked: Column, keys: list[str], own: list[str], most: int = MOST) -> DataFrame:
+    """own columns of the questions, each as often as asked has structs (t, which, ...), with the state at t: of each further column of
+    events, an array of structs (t, o, n, state...) of a version, the last value, not null, up to it. Events with o below 0 come
+    before questions of the same time, others behind; n orders events of one o; those without t don't happen. A key's values of n must not
+    fall with time for one column of state; columns of state that belong together are a struct. Without crowded keys, the result is dealt
+    out by keys, and to there a version or a question goes as the one row that it is: it becomes several only where its key is."""
+    of = lambda df, c: df.select(c.alias("e")).schema["e"].dataType.elementType
+    kinds, more = ({f.name: f.dataType for f in of(df, c)} for df, c in ((versions, events), (questions, asked)))
+    state, more = [c for c in kinds if c not in ("t", "o", "n")], {c: k for c, k in more.items() if c != "t"}
+    null = lambda k: F.lit(None).cast(k)
+    happens = F.transform(events, lambda e: F.struct(*(e[c].alias(c) for c in ("t", "o", "n", *state)), *(null(k).alias(c) for c, k in more.items())))
+    asks = F.transform(asked, lambda e: F.struct(e["t"].alias("t"), F.lit(0).alias("o"), F.lit(0).cast("bigint").alias("n"), *(null(kinds[c]).alias(c) for c in state), *(e[c].alias(c) for c in more)))
+    cuts = crowded(questions.select(*keys, F.inline(asked)).where("t IS NOT NULL").select(*keys, "t"), keys, "t", most, questions)
+    rows = versions.withColumn("_asks", F.lit(False)).unionByName(questions.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition(*keys) if cuts is None else rows
+    rows = rows.select(*keys, *own, "_asks", F.when(F.col("_asks"), asks).otherwise(happens).alias("_each"))
+    rows = rows.select(*keys, *own, "_asks", F.inline("_each")).where("t IS NOT NULL")
+    rows = stretches(rows, keys, "t", cuts)
     part = [] if cuts is None else ["_b"]
     w = Window.partitionBy(*keys, *part).orderBy("t", "o", "n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(*keys, "t", *part, "_asks", *own, *(F.last(c, ignorenulls=True).over(w).alias(c) for c in state))
+    rows = rows.select(*keys, "t", *part, "_asks", *own, *more, *(F.last(c, ignorenulls=True).over(w).alias(c) for c in state))
     # the last of a stretch is its greatest in order of (t, n), which structs that begin with n, and n itself, are
     rows = carried(rows, keys, cuts, {c: F.max(c) for c in state}, {c: lambda own, s: F.coalesce(own, s) for c in state})
     return rows.where("_asks").drop("_b", "_asks")

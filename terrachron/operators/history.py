@@ -4,8 +4,9 @@ A history is read in order of versions, up to the first one that lies ahead of t
 by the last one committed, the others by nearness to the parent's time within a threshold. Which versions were reached, which of them
 lie before the threshold's range, and which came into effect before the next parent are as-of lookups, answered by one merge
 of all versions and parents in order of time (`asof`); only where versions without commit times lie in a parent's range are these few
-looked at together. The versions between two parents are found by their number. Everything is built-in expressions, and no row holds a
-history.
+looked at together. The versions between two parents are found by their number, in blocks of `BLOCK`. Everything is built-in expressions, and no row
+holds a history. Parents are worked out once and written; a child of a parent goes to its history as one short row, and back with what
+the parent keeps of the version.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from ..tables import written
 from . import asof
 
 THRESHOLD_US = 30 * 60 * 1_000_000
-
-
-_V = ("version", "changeset", "visible", "ts", "cm", "lat", "lon", "reverse")
+BLOCK = 16  # versions of a child that are looked up together
+_C = ("version", "changeset", "lat", "lon")  # what a parent keeps of the version seen
 
 
 def versions(children: DataFrame, key=("id",), reverse: Column | None = None) -> DataFrame:
@@ -92,25 +92,28 @@ def _history(child_versions: DataFrame, keys: list[str], threshold_us: int, most
     return written(asof.numbered(h, keys, ["_o", "v"], reach, most).drop("_o"), "history")
 
 
-def _events(h: DataFrame, keys: list[str]) -> DataFrame:
+def _kept(v: Column) -> Column:
+    types = {"version": "int", "changeset": "bigint", "lat": "double", "lon": "double"}
+    return F.struct(*(v[x].cast(types[x]).alias(x) for x in _C))
+
+
+def _events(keep: bool) -> Column:
     """What happens in the order of time: versions are reached (at their time, so before questions), get past the range or come
-    into effect (behind questions). Each key begins with a sign that it has a history."""
-    state = "struct<n: bigint, v: struct<version: int, changeset: bigint, visible: boolean, ts: bigint, cm: bigint, lat: double, lon: double, reverse: boolean>>"
-    v = F.struct("n", F.col("v").cast(state.split("v: ", 1)[1][:-1]).alias("v"))
-    none, no = F.lit(None).cast(state), F.lit(None).cast("bigint")
-    one = lambda t, o, seen=none, past=no, effect=no, there=no: F.struct(t.alias("t"), F.lit(o).alias("o"), seen.alias("seen"), past.alias("past"), effect.alias("effect"), there.alias("there"))
-    n = F.col("n")
-    every = F.array(
-        one(F.col("reached"), -1, seen=v), one(F.coalesce("past", F.lit(asof.FIRST)), 1, past=n), one(F.col("effect"), 1, effect=n),
+    into effect (behind questions). Each key begins with a sign that it has a history. keep: with what parents keep of a version."""
+    v, n, no = F.col("v"), F.col("n"), F.lit(None).cast("bigint")
+    seen = F.struct(n.alias("n"), v["visible"].alias("visible"), _effective(v).alias("e"), *([_kept(v).alias("c")] if keep else []))
+    nothing = F.when(F.lit(False), seen)
+    one = lambda t, o, seen=nothing, past=no, effect=no, there=no: F.struct(t.alias("t"), F.lit(o).alias("o"), n.alias("n"), seen.alias("seen"), past.alias("past"), effect.alias("effect"), there.alias("there"))
+    return F.array(
+        one(F.col("reached"), -1, seen=seen), one(F.coalesce("past", F.lit(asof.FIRST)), 1, past=n), one(F.col("effect"), 1, effect=n),
         one(F.when(n == 0, asof.FIRST - 1), -1, there=n),
     )
-    return h.select(*keys, "n", F.explode(every).alias("e")).select(*keys, "n", "e.*").where("t IS NOT NULL")
 
 
 def _near(d: DataFrame, h: DataFrame, keys: list[str], threshold_us: int) -> DataFrame:
     """id, seq, idx, which, seen: the version that each parent saw (n null: none), where versions in its range have to be looked at
     together, from the last one before the range to the last one reached."""
-    ask = F.array(*(F.struct(F.lit(i).alias("which"), F.col(f"_past{i}").alias("past"), F.col(f"_last{i}").alias("last"), F.col(a).alias("at"), F.col(c).alias("cs")) for i, (a, c) in enumerate((("_at", "_cs"), ("_nat", "_ncs")))))
+    ask = F.array(*(F.struct(F.lit(i).alias("which"), *(F.col(f"_{c}{i}").alias(name) for c, name in (("past", "past"), ("last", "last"), ("t", "at"), ("cs", "cs")))) for i in (0, 1)))
     q = d.select("id", "seq", "idx", *keys, F.explode(ask).alias("q")).select("id", "seq", "idx", *keys, "q.*").where(F.col("last") > F.coalesce("past", F.lit(-1)))
     q = q.withColumn("n", F.explode(F.sequence(F.greatest(F.coalesce("past", F.lit(0)), F.lit(0)), "last")))
     q = q.join(h.select(*keys, "n", "v"), [*keys, "n"]).groupBy("id", "seq", "idx", "which", "at", "cs").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("few"))
@@ -118,66 +121,73 @@ def _near(d: DataFrame, h: DataFrame, keys: list[str], threshold_us: int) -> Dat
     return q.select("id", "seq", "idx", "which", F.when(F.col("i") >= 0, F.get("few", F.col("i"))).alias("found"))
 
 
-def seen_versions(parents: DataFrame, refs: str, child_versions: DataFrame, child_key=("ref",), threshold_us: int = THRESHOLD_US, ignore_inconsistency=False, ignore_missing=False, child_filter: Column | None = None, most: int = asof.MOST) -> DataFrame:
-    """One row per parent version (id, seq): c, a map from child place to the version seen (or null) and updates (the versions between
-    it and what the next parent version saw).
+def _seen(parents: DataFrame, refs: str, child_versions: DataFrame, child_key=("ref",), threshold_us: int = THRESHOLD_US, ignore_inconsistency=False, ignore_missing=False, child_filter: Column | None = None, most: int = asof.MOST, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(id, seq, idx, c: what is kept of the version seen, or null), and id, seq, update: the versions between it and what the next
+    parent version saw.
 
-    parents: id, seq (order of versions), changeset, visible, timestamp, committed, and the array refs of structs. The
+    parents: as of _parents(), with the array refs of structs. The
     next parent counts even if it is invisible or no longer has the child. child_versions: the child's key and v, as of
     versions(). child_filter: condition on the child's columns; what it refuses is left as it is, unless it has no version yet.
-    most: rows of one child from which on it is cut into stretches."""
-    w = Window.partitionBy("id").orderBy("seq")
-    p = parents.withColumn("_at", effective_us("committed", "timestamp")).withColumn("_cs", F.coalesce("changeset", F.lit(0)).cast("bigint"))
-    nxt = F.struct(F.col("_at").alias("at"), effective_us("committed", "timestamp", -threshold_us).alias("soon"), F.col("_cs").alias("cs"))
-    p = p.withColumn("_next", F.lead(nxt).over(w)).where("visible")
+    most: rows of one child from which on it is cut into stretches. keep: False leaves out c."""
     keys = [f"_k{i}" for i in range(len(child_key))]
-    r = p.select("id", "seq", "_at", "_cs", "_next", F.posexplode(refs).alias("idx", "_r")).select("id", "seq", "_at", "_cs", "_next", "idx", "_r.*")
+    r = parents.where("visible").select("id", "seq", "_at", "_cs", "_next", F.posexplode(refs).alias("idx", "_r")).select("id", "seq", "_at", "_cs", "_next", "idx", "_r.*")
     if child_filter is not None:
         r = r.where(child_filter | (F.coalesce("version", F.lit(0)) == 0))
-    r = r.select("id", "seq", "idx", *(F.col(c).alias(k) for c, k in zip(child_key, keys)), "_at", "_cs", "_next.at", "_next.soon", "_next.cs")
+    r = r.select("id", "seq", "idx", *(F.col(c).alias(k) for c, k in zip(child_key, keys)), "_at", "_cs", F.col("_next.at").alias("_nat"), F.col("_next.soon").alias("_soon"), F.col("_next.cs").alias("_ncs"))
     h = _history(child_versions.select(*(F.col(c).alias(k) for c, k in zip(child_versions.columns, keys)), "v"), keys, threshold_us, most)
-    when = F.array(*(F.struct(F.lit(i).alias("which"), F.col(t).alias("t")) for i, t in enumerate(("_at", "at"))), F.struct(F.lit(2).alias("which"), F.coalesce("soon", F.lit(asof.LAST)).alias("t")))
-    asked = ["id", "seq", "idx", "_at", "_cs", "at", "soon", "cs"]
-    q = r.select(*keys, *asked, F.explode(when).alias("w")).select(*keys, *asked, "w.*").where("t IS NOT NULL")
-    got = asof.answered(_events(h, keys), q, keys, ["seen", "past", "effect", "there"], most, r)
-    # the answers to one row come together where its child is; the table is read three times
+    cs = lambda c: (F.lit(None) if c is None else F.col(c)).cast("bigint").alias("cs")
+    when = F.array(*(F.struct(F.lit(i).alias("which"), t.alias("t"), cs(c)) for i, (t, c) in enumerate(((F.col("_at"), "_cs"), (F.col("_nat"), "_ncs"), (F.coalesce("_soon", F.lit(asof.LAST)), None)))))
+    got = asof.answered(h, _events(keep), r, when, keys, ["id", "seq", "idx"], most)
+    # the answers to one row come together where its child is; the table is read more than once
     of = lambda c, i, name: F.max(F.when(F.col("which") == i, F.col(c))).alias(name)
-    d = got.select("*", "seen.n", "seen.v.*", _effective(F.col("seen.v")).alias("_e")).groupBy(*keys, "id", "seq", "idx", "_at", "_cs", F.col("at").alias("_nat"), F.col("soon").alias("_soon"), F.col("cs").alias("_ncs")).agg(
-        of("n", 0, "_last0"), *(of(x, 0, x) for x in _V), of("n", 1, "_last1"), of("visible", 1, "_visible1"), of("_e", 1, "_e1"), of("past", 0, "_past0"), of("past", 1, "_past1"),
-        of("effect", 0, "_effect0"), of("effect", 2, "_effect2"), F.max("there").alias("_there"),
+    d = got.select("*", "seen.n", "seen.visible", "seen.e", *([F.col("seen.c")[x].alias(f"_c_{x}") for x in _C] if keep else [])).groupBy(*keys, "id", "seq", "idx").agg(
+        *(of(c, i, f"_{name}{i}") for i in (0, 1) for c, name in (("n", "last"), ("visible", "visible"), ("e", "e"), ("past", "past"), ("cs", "cs"), ("t", "t"))),
+        *([of(f"_c_{x}", 0, f"_c_{x}") for x in _C] if keep else []), of("effect", 0, "_effect0"), of("effect", 2, "_effect2"), of("t", 2, "_soon"), F.max("there").alias("_there"),
     )
-    d = written(d, "seen")
+    d = written(d.withColumn("_soon", F.nullif("_soon", F.lit(asof.LAST))), "seen")
     child = F.col(keys[-1]).cast("string")
     d = d.where("_there IS NOT NULL") if ignore_missing else d.where(_raised(F.col("_there").isNull(), F.concat(F.lit("no history of child "), child)))
-    c = F.struct(F.col("_last0").alias("n"), F.struct(*_V).alias("v"), _effective(F.struct("ts", "cm")).alias("e"))
+    kept = lambda c: [c.alias("c")] if keep else []
+    c = F.struct(F.col("_last0").alias("n"), F.col("_e0").alias("e"), *kept(F.struct(*(F.col(f"_c_{x}").alias(x) for x in _C)) if keep else None))
     n = F.struct(F.col("_last1").alias("n"), F.col("_e1").alias("e"))
-    d = d.withColumn("_c", F.when(F.col("visible"), c)).withColumn("_n", F.when(F.col("_visible1"), n))  # the last version reached, if visible
-    few = d.where("_last0 > coalesce(_past0, -1) OR _last1 > coalesce(_past1, -1)")
+    fields = ["id", "seq", "idx", *keys, "_effect0", "_effect2", "_soon"]
+    last = lambda df: df.withColumn("_c", F.when(F.col("_visible0"), c)).withColumn("_n", F.when(F.col("_visible1"), n))  # the last version reached, if visible
+    in_range = F.coalesce(F.expr("_last0 > coalesce(_past0, -1) OR _last1 > coalesce(_past1, -1)"), F.lit(False))
+    few, d = d.where(in_range), last(d.where(~in_range)).select(*fields, "_c", "_n")
     if few.limit(1).count():  # unless versions in the range say otherwise
         near = _near(few, h, keys, threshold_us).groupBy("id", "seq", "idx").agg(*(F.max(F.when(F.col("which") == i, F.struct(F.lit(True).alias("is"), "found"))).alias(f"_near{i}") for i in (0, 1)))
-        d = d.join(near, ["id", "seq", "idx"], "left")
-        for i, (name, made) in enumerate((("_c", ("n", "v", "e")), ("_n", ("n", "e")))):
+        few = last(few).join(near, ["id", "seq", "idx"], "left")
+        for i, name in enumerate(("_c", "_n")):
             f = F.col(f"_near{i}.found")
-            found = {"n": f["n"], "v": f["v"], "e": _effective(f["v"])}
-            d = d.withColumn(name, F.when(F.col(f"_near{i}.is"), F.when(f.isNotNull(), F.struct(*(found[x].alias(x) for x in made)))).otherwise(F.col(name)))
+            found = F.struct(f["n"].alias("n"), _effective(f["v"]).alias("e"), *(kept(_kept(f["v"])) if i == 0 else []))
+            few = few.withColumn(name, F.when(F.col(f"_near{i}.is"), F.when(f.isNotNull(), found)).otherwise(F.col(name)))
+        d = d.unionByName(few.select(*d.columns))
     c, n = F.col("_c"), F.col("_n")
     seen_next = F.when(n["e"] < F.col("_soon"), n["n"] + 1).otherwise(n["n"])
     behind = lambda x: F.coalesce(x + 1, F.lit(0))
     none_next = F.when(c.isNotNull() & (F.col("_soon") <= c["e"]), 0).otherwise(behind(F.col("_effect2")))
     end = F.when(F.col("_soon").isNull(), behind(F.col("_effect2"))).when(n.isNotNull(), seen_next).otherwise(none_next)
     start = F.when(c.isNotNull(), c["n"] + 1).otherwise(behind(F.col("_effect0")))
-    d = d.withColumn("_start", start).withColumn("_end", end)
     text = F.concat(F.lit("no visible version of child "), child)
     if not ignore_inconsistency:
         d = d.where(_raised(c.isNull(), text))
-    u = d.where("_end > _start").select("id", "seq", "idx", *keys, F.explode(F.sequence("_start", F.col("_end") - 1)).alias("n"))
-    u = u.join(h.select(*keys, "n", "v"), [*keys, "n"])
+    block = lambda x: F.floor(x / BLOCK)
+    u = d.select("id", "seq", "idx", *keys, start.alias("_start"), end.alias("_end")).where("_end > _start")
+    u = u.withColumn("_block", F.explode(F.sequence(block(F.col("_start")), block(F.col("_end") - 1))))
+    u = u.join(h.select(*keys, block(F.col("n")).alias("_block"), "n", "v"), [*keys, "_block"]).where("n >= _start AND n < _end")
     u = u.where("v.visible") if ignore_inconsistency else u.where(_raised(~F.col("v.visible"), text))
     v = F.col("v")
     time = F.timestamp_micros(F.when((v["ts"] < FROM) | v["cm"].isNull(), v["ts"]).otherwise(v["cm"]))
     update = F.struct(F.col("idx").alias("index"), v["version"].alias("version"), time.alias("timestamp"), v["changeset"].alias("changeset"), v["lat"].alias("lat"), v["lon"].alias("lon"), v["reverse"].alias("reverse"))
-    u = u.groupBy("id", "seq").agg(F.collect_list(update).alias("updates"))
-    d = d.groupBy("id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("_c.v").alias("c")))).alias("c"))
+    return d.select("id", "seq", "idx", *kept(F.col("_c.c"))), u.select("id", "seq", update.alias("update"))
+
+
+def seen_versions(parents: DataFrame, refs: str, child_versions: DataFrame, child_key=("ref",), **options) -> DataFrame:
+    """One row per parent version (id, seq): c, a map from child place to what is kept of the version seen (or null), and updates.
+    Everything else as of _seen()."""
+    d, u = _seen(parents, refs, child_versions, child_key, **options)
+    u = u.groupBy("id", "seq").agg(F.collect_list("update").alias("updates"))
+    d = d.repartition("id", "seq").groupBy("id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", "c"))).alias("c"))
     return d.join(u, ["id", "seq"], "left").withColumn("updates", F.coalesce("updates", F.array().cast(UPDATES)))
 
 
@@ -187,13 +197,23 @@ def sorted_updates(updates):
     return F.transform(F.array_sort(F.transform(updates, key)), lambda x: x["u"])
 
 
-def _parents(p: DataFrame) -> DataFrame:
-    return p if "seq" in p.columns else p.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("version", "timestamp")))
+_NEXT = ("_at", "_cs", "_next")
+
+
+def _parents(p: DataFrame, threshold_us: int = THRESHOLD_US, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Parents with seq (order of versions), their time and changeset and the next one's, written as they are read more than once; only
+    the fields, if given."""
+    if "seq" not in p.columns:
+        p = p.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("version", "timestamp")))
+    p = p.withColumn("_at", effective_us("committed", "timestamp")).withColumn("_cs", F.coalesce("changeset", F.lit(0)).cast("bigint"))
+    following = F.struct(F.col("_at").alias("at"), effective_us("committed", "timestamp", -threshold_us).alias("soon"), F.col("_cs").alias("cs"))
+    p = p.withColumn("_next", F.lead(following).over(Window.partitionBy("id").orderBy("seq")))
+    return written(p if fields is None else p.select(*fields, *_NEXT), "parents")
 
 
 def annotate_ways(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     """Ways whose nodes carry the version, changeset and place that each version saw, and updates until the next version."""
-    ways = _parents(ways)
+    ways = _parents(ways, options.get("threshold_us", THRESHOLD_US))
     got = seen_versions(ways, "nodes", versions(nodes), ("ref",), **options).withColumnsRenamed({"c": "_c", "updates": "_u"})
 
     def one(n, i):
@@ -201,7 +221,7 @@ def annotate_ways(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
         new = F.struct(n["ref"].alias("ref"), c["version"].alias("version"), c["changeset"].alias("changeset"), c["lat"].alias("lat"), c["lon"].alias("lon"))
         return F.when(c.isNotNull(), new).otherwise(n)
 
-    d = ways.join(got, ["id", "seq"], "left")
+    d = ways.drop(*_NEXT).join(got, ["id", "seq"], "left")
     nodes_ = F.when(F.col("_c").isNull(), F.col("nodes")).otherwise(F.transform("nodes", one))
     return d.withColumn("nodes", nodes_).withColumn("updates", F.when(F.col("_u").isNull(), F.col("updates") if "updates" in ways.columns else F.lit(None)).otherwise(sorted_updates(F.col("_u")))).drop("_c", "_u")
 
@@ -230,7 +250,7 @@ def annotate_relations(relations: DataFrame, nodes=None, ways=None, members_of=N
     """Relations whose members carry what each version saw, and updates; areas' way members also their orientation."""
     from .rings import member_orientations
 
-    relations = _parents(relations)
+    relations = _parents(relations, options.get("threshold_us", THRESHOLD_US))
     got = seen_versions(relations, "members", relation_versions(nodes, ways, members_of), ("type", "ref"), **options).withColumnsRenamed({"c": "_c", "updates": "_u"})
 
     def one(m, i):
@@ -238,7 +258,7 @@ def annotate_relations(relations: DataFrame, nodes=None, ways=None, members_of=N
         new = m.withField("version", c["version"]).withField("changeset", c["changeset"]).withField("lat", c["lat"]).withField("lon", c["lon"])
         return F.when(c.isNotNull(), new).otherwise(m)
 
-    d = relations.join(got, ["id", "seq"], "left")
+    d = relations.drop(*_NEXT).join(got, ["id", "seq"], "left")
     d = d.withColumn("members", F.when(F.col("_c").isNull(), F.col("members")).otherwise(F.transform("members", one)))
     d = d.withColumn("updates", F.when(F.col("_u").isNull(), F.lit(None)).otherwise(sorted_updates(F.col("_u")))).drop("_c", "_u")
     return member_orientations(d, ways) if ways is not None else d

@@ -187,6 +187,22 @@ def test_no_row_holds_a_history(spark):
     assert not collected
 
 
+def test_parents_are_worked_out_once(spark):
+    """However often they are read; and what a child's history tells goes back as rows of what parents keep."""
+    nodes = spark.createDataFrame([(i, v, True, v, at(LATE, v), at(LATE, v), float(v), 0.0) for i in range(20) for v in range(1, 9)], NODE)
+    ways = spark.createDataFrame([(i, v, True, 1, at(LATE, 3 * v), at(LATE, 3 * v), nd(*range(20))) for i in range(30) for v in (1, 2)], WAY)
+    many = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            many.add(b.num_rows)
+            yield b
+
+    got = history.annotate_ways(ways.mapInArrow(counted, ways.schema), nodes)
+    assert got.where("forall(nodes, n -> n.version = 3 * version) AND size(updates) = 20 * 2").count() == 60
+    assert many.value == 60
+
+
 def test_errors_and_options(spark):
     nodes = [(1, 1, True, 1, at(EARLY, 0), None, 1.0, 1.0), (1, 2, False, 2, at(EARLY, 5), None, 1.0, 1.0)]
     ways = [(7, 1, True, 50, at(EARLY, 8), None, nd(1, 3))]

@@ -6,7 +6,7 @@ lie before the threshold's range, and which came into effect before the next par
 of all versions and parents in order of time (`asof`); only where versions without commit times lie in a parent's range are these few
 looked at together. The versions between two parents are found by their number, in blocks of `BLOCK`. Everything is built-in expressions, and no row
 holds a history. Parents are worked out once and written; a child of a parent goes to its history as one short row, and back with what
-the parent keeps of the version.
+the parent keeps of the version. Updates can be had as rows (`way_updates`), which need not come together by parent.
 """
 
 from __future__ import annotations
@@ -226,6 +226,12 @@ def annotate_ways(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
     return d.withColumn("nodes", nodes_).withColumn("updates", F.when(F.col("_u").isNull(), F.col("updates") if "updates" in ways.columns else F.lit(None)).otherwise(sorted_updates(F.col("_u")))).drop("_c", "_u")
 
 
+def way_updates(ways: DataFrame, nodes: DataFrame, **options) -> DataFrame:
+    """id, seq and the columns of an update: those of annotate_ways() as rows, in no order."""
+    ways = _parents(ways, options.get("threshold_us", THRESHOLD_US), ("id", "seq", "visible", "nodes"))
+    return _seen(ways, "nodes", versions(nodes), ("ref",), keep=False, **options)[1].select("id", "seq", "update.*")
+
+
 def relation_versions(nodes=None, ways=None, relations=None) -> DataFrame:
     """type, ref, v of all versions that relations can have; a way version is reversed if it turned round since the one before."""
     from ..functions.geo import is_reverse, line

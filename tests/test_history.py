@@ -203,6 +203,24 @@ def test_parents_are_worked_out_once(spark):
     assert many.value == 60
 
 
+@pytest.mark.parametrize("most", [200_000, 6])
+def test_updates_as_rows(spark, most):
+    """The same as those gathered by parent; also where they begin, end and lie across blocks of versions."""
+    top = 3 * history.BLOCK + 2
+    nodes = [(i, v, v % 7 > 0, v, at(LATE, v), at(LATE, v), float(v), float(i)) for i in (1, 2) for v in range(1, top + i)]
+    starts = [0, history.BLOCK - 1, history.BLOCK, history.BLOCK + 1, 3 * history.BLOCK, top + 9]
+    ways = [(w, v, w < 3 or v != 2, 1, at(LATE, h), at(LATE, h), nd(1, 2, 1)) for w in (1, 2, 3) for v, h in enumerate(starts[w - 1 :], 1)]
+    n, w = spark.createDataFrame(nodes, NODE), spark.createDataFrame(ways, WAY)
+    option = {"ignore_inconsistency": True, "ignore_missing": True, "most": most}
+    rows = history.way_updates(w, n, **option)
+    got = sorted((r.id, r.seq, r["index"], r.version, r.timestamp, r.changeset, r.lat, r.lon, r.reverse) for r in rows.collect())
+    d = history.annotate_ways(w, n, **option).where("visible").collect()
+    assert got == sorted((r.id, r.seq, *u) for r in d for u in r.updates)
+    first = [(r[2], r[3]) for r in got if r[:2] == (1, 1)]  # it begins before the first version and ends before the one at the next one's time
+    assert first == [(i, v) for i in range(3) for v in range(1, history.BLOCK - 1) if v % 7]
+    assert len(got) > 200
+
+
 def test_errors_and_options(spark):
     nodes = [(1, 1, True, 1, at(EARLY, 0), None, 1.0, 1.0), (1, 2, False, 2, at(EARLY, 5), None, 1.0, 1.0)]
     ways = [(7, 1, True, 50, at(EARLY, 8), None, nd(1, 3))]

@@ -301,6 +301,65 @@ def test_lm_slices_do_not_cost_the_unseen(spark):
     assert few > 1.01 * every
 
 
+def coded_by(tree, tables, far, contexts, w, leaf):
+    """Logarithm of a leaf's probability, bit by bit."""
+    total = 0.0
+    for i in range(tree.size[leaf]):
+        cells, bit, _ = tree.coded(np.array([leaf]), [np.array([c]) for c in contexts], far)
+        zero, one = zip(*((int(t[c[i]]) & 63, int(t[c[i]]) >> 6) for t, c in zip(tables, cells)))
+        value = lambda q: np.flatnonzero(lm_score._QUANT == q).mean()
+        zero, one = [value(q) for q in zero], [value(q) for q in one]
+        seen = [sum(a + b >= x for x in (1, 2, 4, 10, 100, 1000)) for a, b in zip(zero, one)]
+        gate = seen[-1] * 3 + min(2, (seen[-2] + 2) // 3)
+        weights, bias = w[0, : -lm_score.GATES].reshape(lm_score.GATES, len(far), 7), w[0, -lm_score.GATES :]
+        z = bias[gate] + sum(weights[gate, o, k] * math.log((b + 0.02) / (a + 0.02)) for o, (k, a, b) in enumerate(zip(seen, zero, one)))
+        total -= math.log1p(math.exp(-z if bit[i] else z))
+    return total
+
+
+def test_tree_codes_every_bit():
+    r = np.random.default_rng(5)
+    tree, far = lm_score.Tree([90, 1, 1, 40, 7, 7, 7, 3, 2, 1, 1, 30]), (8, 10, 10)
+    assert sum(0.5**tree.size) == 1 and tree.size[0] < tree.size[4] < tree.size[1]
+    ids, size = r.integers(0, 12, 3000), np.array([1000, 1, 1999])
+    ctx = lm_score.contexts(ids, np.zeros(3000, np.uint8), size, 2)
+    assert ctx[2][1000] == ctx[2][1001] == ctx[2][0] and len(set(ctx[2].tolist())) > 100
+    t = [np.zeros(2 << k, np.float32) for k in far]
+    cells, bit, _ = tree.coded(ids, ctx, far)
+    for o, c in enumerate(cells):
+        np.add.at(t[o], c * 2 + bit, 1)
+        assert t[o].sum() == tree.size[ids].sum()
+    t = [lm_score.coarse(x) for x in t]
+    m = lm_score.TextMixer(tree, t, far)
+    m.learn(ids, ctx, np.ones(3000, np.int64))
+    every = np.array([m.score(np.full(3000, x), ctx) for x in range(12)])
+    assert abs(np.exp(every).sum(0) - 1).max() < 1e-5
+    for i in (0, 1, 1000, 2500):
+        assert abs(every[ids[i], i] - coded_by(tree, t, far, [c[i] for c in ctx], m.x, ids[i])) < 1e-4
+
+
+def test_lm_word_order_counts(spark):
+    r = random.Random(8)
+
+    def text():
+        at, w = 0, []
+        for _ in range(60):
+            at = (at + r.choice((1, 3))) % 8
+            w.append("abcdefgh"[at] * 3)
+        return w
+
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = {i: text() for i in range(500)}
+    mixed = {1000 + k: r.sample(rows[i], len(rows[i])) for k, i in enumerate(held)}
+    ids = iter(i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    mixed = {next(ids): w for w in mixed.values()}
+    got = lm_score.score(docs_of(spark, [(i, " ".join(w)) for i, w in (rows | mixed).items()]), bits=(10, 12, 12, 14, 14), sample=500, far=(12, 14, 14))
+    got = {x.doc_id: x for x in got.collect()}
+    for a, b in zip(held, mixed):
+        assert got[a].held_out and got[b].held_out and abs(got[a].base_score - got[b].base_score) < 1e-6
+        assert got[a].score > 0.7 * got[b].score and got[a].score > 0.6 * got[a].base_score
+
+
 def test_quality(spark):
     r = random.Random(2)
     make = lambda bad, toxic: " ".join(r.choice(["river", "stone", "field", "light"]) + ("$$$" if bad else "") for _ in range(60)) + (" idiot trash" if toxic else "")

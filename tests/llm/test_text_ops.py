@@ -10,10 +10,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrachron.llm import lm_score, mixing, ngram_join, packing, quality, suffix_dedup
+from terrachron.llm import _text, lm_score, mixing, ngram_join, packing, quality, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, n int, spans int, low int, taken int, g int"
 
@@ -338,6 +339,57 @@ def test_tree_codes_every_bit():
         assert abs(every[ids[i], i] - coded_by(tree, t, far, [c[i] for c in ctx], m.x, ids[i])) < 1e-4
 
 
+def test_tree_counts_and_scores_by_groups_are_the_plain_ones_for_less():
+    r = np.random.default_rng(7)
+    tree, far = lm_score.Tree((1e6 / np.arange(1, 5001)).astype(int).tolist()), (12, 14, 14)
+    ids = np.minimum(r.zipf(1.3, 40_000), 5000) - 1
+    ctx, times = lm_score.contexts(ids, r.integers(0, 3, 40_000).astype(np.uint8), np.array([40_000]), 2), r.integers(1, 5, 40_000)
+
+    def plain(t):
+        for e in lm_score.pieces(40_000):
+            cells, bit, size = tree.coded(ids[e], [c[e] for c in ctx], far)
+            for x, c in zip(t, cells):
+                np.add.at(x, c * 2 + bit, np.repeat(times[e].astype(np.float32), size))
+
+    def grouped(t):
+        for e in lm_score.pieces(40_000):
+            tree.count(t, ids[e], [c[e] for c in ctx], far, times[e])
+
+    def seconds(f):
+        s = time.process_time()
+        f([np.zeros(2 << k, np.float32) for k in far])
+        return time.process_time() - s
+
+    a, b = ([np.zeros(2 << k, np.float32) for k in far] for _ in range(2))
+    plain(a), grouped(b)
+    assert all((x == lm_score.spread(y)).reshape(-1, 32)[:, 2:].all() for x, y in zip(a, b))
+    assert min(seconds(grouped) for _ in range(5)) < 0.7 * min(seconds(plain) for _ in range(5))
+
+    t = [lm_score.coarse(x) for x in a]
+    m = lm_score.TextMixer(tree, t, far)
+    m.learn(ids, ctx, times)
+    got = m.score(ids[:300], [c[:300] for c in ctx])
+    assert abs(got - [coded_by(tree, t, far, [c[i] for c in ctx], m.x, ids[i]) for i in range(300)]).max() < 1e-4
+
+
+def test_words_by_columns_are_those_of_each_text():
+    texts = ["Ab c", None, "", "c", "c\x0bÉé \x00\t", " ab", "x" * 50, "c\x85d\x1cE", "ab"]
+    for some in (texts, texts[2:8], [None, ""], ["b"]):
+        batch = pa.RecordBatch.from_pydict({"n": list(range(len(some))), "text": pa.array(some, pa.string())})
+        for most in (5, 1000):
+            got, rows = [], []
+            for part in _text.portions(batch.slice(0), most):
+                place, distinct, size = _text.encoded(part["text"])
+                w, ends = distinct.take(pa.array(place)).to_pylist(), np.cumsum(size).tolist()
+                got += [w[b - n : b] for b, n in zip(ends, size.tolist())]
+                rows += part["n"].to_pylist()
+                assert len(part) == 1 or len("".join(t or "" for t in part["text"].to_pylist()).encode()) <= most
+            assert rows == list(range(len(some))) and got == [[*_text.words(t), b""] for t in some]
+    assert list(_text.portions(batch.slice(0, 0))) == []
+    cut = _text.encoded(pa.array(texts).slice(3, 4))
+    assert cut[1].take(pa.array(cut[0])).to_pylist() == [x for t in texts[3:7] for x in (*_text.words(t), b"")]
+
+
 def test_lm_word_order_counts(spark):
     r = random.Random(8)
 

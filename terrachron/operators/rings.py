@@ -154,11 +154,12 @@ def _segments(column, role=None):
 
 def member_segments(relations: DataFrame, ways: DataFrame, versions: bool = False) -> DataFrame:
     """id, segs of each relation: its way members in order, with the points of ways that carry them (column points or nodes);
-    versions: ways are histories, and each member's version picks its own."""
+    versions: ways are histories, and each member's version picks its own. The join is by shuffle: Spark estimates ways from the files they are
+    made from, and would broadcast millions of lines where those are short."""
     from ..functions.geo import line
 
     more = ["version"] if versions else []
-    w = ways.select(F.col("id").alias("ref"), *more, (F.col("points") if "points" in ways.columns else line("nodes")).alias("points"))
+    w = ways.select(F.col("id").alias("ref"), *more, (F.col("points") if "points" in ways.columns else line("nodes")).alias("points")).hint("merge")
     m = relations.select("id", F.posexplode("members").alias("idx", "m")).where("m.type = 'way'")
     m = m.select("id", "idx", F.col("m.ref").alias("ref"), *(F.col("m.version").alias(c) for c in more), F.coalesce("m.orientation", F.lit(0)).cast("int").alias("o"), F.coalesce("m.role", F.lit("")).alias("role"), line("m.nodes").alias("own"))
     j = m.join(w, ["ref", *more], "left").withColumn("points", F.coalesce("points", "own"))

@@ -2,9 +2,11 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 from terrachron.operators import rings
 from terrachron.operators.rings import Segment
+from terrachron.plans import shapes
 
 
 def looked_through(segments):
@@ -58,3 +60,17 @@ def test_members_are_objects_a_slice_at_a_time(spark):
 
     got = rings.by_slices(d, many, ["id", "segs"], "id bigint, n bigint").collect()
     assert sorted(r.id for r in got) == list(range(5000)) and max(r.n for r in got) <= rings.ROWS
+
+
+def test_lines_of_ways_are_not_broadcast(spark):
+    """Ways that are short in their files and long as lines were broadcast whole, which took more than the driver's memory."""
+    small = {"spark.sql.maxBroadcastTableSize": "256k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        r, w = shapes._squares(SimpleNamespace(node_v=spark.range(3000)), "boundary")
+        got = rings.member_orientations(r, w).selectExpr("id", "posexplode(members) AS (idx, m)").selectExpr("id", "idx", "m.orientation").collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert sorted(map(tuple, got)) == [(i, k, -1 if i % 2 else 1) for i in range(3000) for k in range(3)]
